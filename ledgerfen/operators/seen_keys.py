@@ -1,0 +1,113 @@
+"""Has this key been seen before? An exact ledger of keys in hash buckets on disk.
+
+The ledger is a bucketed, sorted table with one row for each key so far: the key and the place of its first record. A batch is
+first reduced to its distinct keys, each with its first record (rank 1 by arrival), with partial results before the shuffle;
+these are sort-merge left-joined to the ledger bucket by bucket, and the new ones are appended. A record is then new exactly
+when it is the first record of a key that the ledger didn't have. Nothing is kept in memory and no answer is wrong.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch
+from .kvlog import readable
+
+
+class KeyLedger:
+    """Keys ``keys`` with the place ``order`` of their first record, in ``buckets`` buckets on disk.
+
+    ``buckets`` is at best the session's number of shuffle partitions: the batch's aggregation is then partitioned like the
+    ledger and neither is shuffled again. A record with a null in its key has no key: it is never seen before and not
+    remembered. Places are compared in the order of ``order``.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None, path: str | None = None) -> None:
+        self.spark, self.keys, self.order = spark, keys, order
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or scratch(spark, "ledger")
+        self.name, self.batches = f"ledger_{uuid.uuid4().hex}", 0
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name).select(*self.keys, *self.order, "batch")
+
+    def _keyed(self, rows: DataFrame) -> DataFrame:
+        return rows.dropna(subset=self.keys)
+
+    def append(self, batch: DataFrame) -> int:
+        """Take in the keys of a batch; the number of the batch. Batches must come in the order of arrival."""
+        first = self._keyed(batch).groupBy(*self.keys).agg(F.min(F.struct(*self.order)).alias("_first"))
+        first = first.select(*self.keys, *(F.col(f"_first.{c}").alias(c) for c in self.order))
+        if self.batches:
+            old = self.spark.table(self.name).select(*(F.col(k).alias(f"_old_{k}") for k in self.keys), F.lit(1).alias("_known"))
+            same = None
+            for k in self.keys:
+                test = F.col(k) == F.col(f"_old_{k}")
+                same = test if same is None else same & test
+            first = first.hint("merge").join(old, same, "left").where("_known IS NULL").select(*self.keys, *self.order)
+        self.batches += 1
+        rows = first.withColumn("batch", F.lit(self.batches))
+        writer = rows.write.mode("append").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", self.path)
+        writer.format("parquet").saveAsTable(self.name)
+        return self.batches
+
+    def seen(self, records: DataFrame, identity: list[str]) -> DataFrame:
+        """The ``identity`` of the records, each once, that aren't the first of their key.
+
+        ``identity`` must hold ``order``; the anti join is on it, so a hot key doesn't matter here either.
+        """
+        return self._keyed(records).select(*identity).distinct().join(self.table().select(*identity), identity, "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def batches_of(wal: DataFrame, batches: int) -> list[DataFrame]:
+    """The log in ``batches`` parts of about the same size, by ranges of wal_id; the ranges keep each database's log order.
+
+    The limits are approximate quantiles over all rows; any limits would give the same answers.
+    """
+    cuts = wal.select(F.percentile_approx("wal_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    edges = [None, *cuts, None]
+    parts = []
+    for lo, hi in zip(edges, edges[1:]):
+        part = wal if lo is None else wal.where(F.col("wal_id") > lo)
+        parts.append(part if hi is None else part.where(F.col("wal_id") <= hi))
+    return parts
+
+
+def log_records(wal: DataFrame) -> DataFrame:
+    """(db_id, wal_id, rec_no, key) of the readable records that have a place in a log."""
+    return wal.where(readable()).where("db_id IS NOT NULL AND wal_id IS NOT NULL AND rec_no IS NOT NULL").select("db_id", "wal_id", "rec_no", "key")
+
+
+def seen_before(wal: DataFrame, batches: int = 3) -> tuple[DataFrame, KeyLedger]:
+    """(db_id, wal_id, rec_no) of the records whose key stands earlier in the log of the database, and the ledger.
+
+    Records repeated as a whole are one record. Torn records are neither asked nor remembered.
+    """
+    records = log_records(wal)
+    ledger = KeyLedger(wal.sparkSession, ["db_id", "key"], ["wal_id", "rec_no"])
+    for part in batches_of(records, batches):
+        ledger.append(part)
+    return ledger.seen(records, ["db_id", "wal_id", "rec_no"]), ledger
+
+
+def error_rate(wal: DataFrame, seen: DataFrame) -> DataFrame:
+    """(db_id, records, seen, wrong, rate) of answers held against each key's first record, found in one pass without ledger."""
+    place = ["db_id", "wal_id", "rec_no"]
+    records = log_records(wal)
+    first = records.groupBy("db_id", "key").agg(F.min(F.struct("wal_id", "rec_no")).alias("f")).select("db_id", "f.*")
+    marks = (
+        records.select(*place).distinct().select(*place, F.lit(1).alias("r"), F.lit(0).alias("f"), F.lit(0).alias("s"))
+        .unionByName(first.select(*place, F.lit(0).alias("r"), F.lit(1).alias("f"), F.lit(0).alias("s")))
+        .unionByName(seen.select(*place, F.lit(0).alias("r"), F.lit(0).alias("f"), F.lit(1).alias("s")))
+    )
+    each = marks.groupBy(*place).agg(F.max("r").alias("r"), F.max("f").alias("f"), F.max("s").alias("s"))
+    wrong = F.sum((F.col("f") == F.col("s")).cast("long")).alias("wrong")
+    total = each.groupBy("db_id").agg(F.sum("r").cast("long").alias("records"), F.sum("s").cast("long").alias("seen"), wrong)
+    return total.withColumn("rate", F.col("wrong") / F.col("records"))
