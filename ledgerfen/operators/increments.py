@@ -2,8 +2,8 @@
 
 A mutation can be logged again under its number with other contents, so the contents of a number are numbered in the order in
 which they appeared (``version``), and there is a set of intervals for each (feed, db_id, version). Intervals are cut at
-multiples of ``BLOCK``, so that all steps, from the first aggregation to the subtraction, are local to a (feed, db_id, block)
-and share one shuffle whose groups are small however large a database is.
+multiples of ``BLOCK``, so that all steps after the merging of repeats are local to a (feed, db_id, block) and share one
+shuffle, whose groups are small however large a database is.
 """
 
 from __future__ import annotations
@@ -45,12 +45,15 @@ def sst_contents(sst: DataFrame, manifest: DataFrame) -> DataFrame:
 def versioned(contents: DataFrame) -> DataFrame:
     """(feed, db_id, block, seq, version, seen_at): each distinct content once, with its first appearance and its number from 0.
 
-    Contents of one number that appeared at the same time are numbered in the order of their fields.
+    Contents of one number that appeared at the same time are numbered in the order of their hashes. The rows come out
+    partitioned by (feed, db_id, block), which all later steps use.
     """
     rows = contents.withColumn("block", block_of())
-    # repeated contents are merged before the shuffle, which is on the block alone and serves all later steps
+    # repeats are merged first, on the whole content, so that no number is hot; what then goes to the blocks has a hash for
+    # the content, which only orders contents of the same time
     first = rows.groupBy("feed", "db_id", "block", "seq", *CONTENT).agg(F.min("seen_at").alias("seen_at"))
-    order = W.partitionBy("feed", "db_id", "block", "seq").orderBy("seen_at", *CONTENT)
+    first = first.select("feed", "db_id", "block", "seq", "seen_at", F.xxhash64(*CONTENT).alias("content")).repartition("feed", "db_id", "block")
+    order = W.partitionBy("feed", "db_id", "block", "seq").orderBy("seen_at", "content")
     return first.select("feed", "db_id", "block", "seq", (F.row_number().over(order) - 1).alias("version"), "seen_at")
 
 
@@ -105,7 +108,7 @@ def pending(contents: DataFrame, run_log: DataFrame) -> DataFrame:
     reads = if_small(last_good_reads(run_log).withColumnRenamed("feed", "feed_"), run_log.count())
     rows = versioned(contents).join(reads, F.col("feed") == F.col("feed_"), "left")
     done = to_intervals(rows.where(F.col("seen_at") <= F.col("read_to")))
-    return subtract(rows, done).select("feed", "db_id", "seq").distinct()
+    return subtract(rows, done).select("feed", "db_id", "block", "seq").distinct().select("feed", "db_id", "seq")
 
 
 class IntervalLedger:
