@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, store, store_sql
 
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+QUERIES = {**store.QUERIES, **general.QUERIES}
+ORACLE = {**store_sql.ORACLE, **general.ORACLE}
