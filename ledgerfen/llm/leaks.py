@@ -28,8 +28,8 @@ from .spread import spread
 #: Words of the items in a block: a broadcast of about 100 MB at the most.
 BLOCK_WORDS = 1_000_000
 
-_INVISIBLE = regex.compile(r"[\p{Cf}--­]+", regex.V1)
-_BROKEN = re.compile(r"(?<=[^\W_])[-­‐‑]\s*\n\s*(?=[^\W_])")
+_INVISIBLE = regex.compile(r"[\p{Cf}--\u00ad]+", regex.V1)
+_BROKEN = re.compile(r"(?<=[^\W_])[-\u00ad\u2010\u2011]\s*\n\s*(?=[^\W_])")
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _ASIDE = re.compile(r"\([^()\[\]]*\)|\[[^()\[\]]*\]")
 _WORD = re.compile(r"[^\W_]+")

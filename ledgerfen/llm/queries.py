@@ -44,7 +44,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_coverage, p8_found, p8_languages)}
 
 _PLAIN = """regexp_replace(replace(strip_accents(lower(nfc_normalize(replace(regexp_replace(regexp_replace(
-    text, '[\\x{200b}\\x{200c}\\x{200d}\\x{2060}\\x{feff}]+', '', 'g'), '[-\\x{ad}\\x{2010}\\x{2011}]\\s*\\n\\s*', '', 'g'), '­', '')))), 'ß', 'ss'),
+    text, '[\\x{200b}\\x{200c}\\x{200d}\\x{2060}\\x{feff}]+', '', 'g'), '[-\\x{ad}\\x{2010}\\x{2011}]\\s*\\n\\s*', '', 'g'), chr(173), '')))), 'ß', 'ss'),
     '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g')"""
 
 
