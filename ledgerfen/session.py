@@ -33,6 +33,31 @@ def get_spark(app: str = "ledgerfen", cores: int | str = "*", shuffle_partitions
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have its folder on their path; once for each application.
+
+    Nothing is done where the workers' environment names the folder already, as it does when the driver was started with
+    PYTHONPATH or from the folder itself.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    env = (spark._jvm.System.getenv("PYTHONPATH") or "").split(os.pathsep)
+    if app in _shipped or root in map(os.path.abspath, filter(None, env)) or os.path.abspath(os.getcwd()) == root:
+        return
+    _shipped.add(app)
+    with tempfile.TemporaryDirectory(prefix="ledgerfen-package-") as tmp:
+        # the driver serves the file to the executors, which read it from there, not from this folder
+        shutil.copytree(os.path.join(root, "ledgerfen"), os.path.join(tmp, "in", "ledgerfen"), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(os.path.join(tmp, "ledgerfen_package"), "zip", os.path.join(tmp, "in"))
+        _kept = os.path.join(tempfile.mkdtemp(prefix="ledgerfen-package-"), "ledgerfen_package.zip")
+        shutil.move(archive, _kept)
+    atexit.register(shutil.rmtree, os.path.dirname(_kept), True)
+    spark.sparkContext.addPyFile(_kept)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session, or, on a local master only, a folder of our own."""
     global _local_root
