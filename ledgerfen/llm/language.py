@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .spread import spread
@@ -39,7 +40,7 @@ _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lan
 PAIRS = [tuple(p) for langs in FAMILIES.values() for p in combinations(langs, 2)]
 
 #: The bound of the sample that is fitted on: rows of each label, and characters of a row's text.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 150, 20_000
 BUCKETS = 1 << 16
 #: Words of the pieces of lines that are fitted on.
 PIECE_WORDS = 10
@@ -66,30 +67,35 @@ def line_words(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
 
-def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int, epochs: int, penalty: float = 1e-4) -> np.ndarray:
-    """Weights of a linear support vector machine: subgradient steps on rows of (buckets, values), averaged over the second half."""
+def _svms(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, seed: int, epochs: int, penalty: float = 3e-5) -> np.ndarray:
+    """Weights of several linear support vector machines, a column each, fitted side by side.
+
+    Subgradient steps on rows of (buckets, values of unit length); ``signs`` has 1, -1 or, for rows that a machine isn't
+    fitted on, 0. The weights are averaged over the second half of the steps.
+    """
     rng = np.random.default_rng(seed)
-    w, total, step, kept = np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0
+    w, total, kept, step = np.zeros((BUCKETS, signs.shape[1])), np.zeros((BUCKETS, signs.shape[1])), 0, 0
     scale, steps = 1.0, epochs * len(rows)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(rows)).tolist():
             step += 1
-            rate = 1 / (penalty * (step + 1 / penalty))
-            x, v = rows[i]
-            margin = y[i] * scale * (w[x] @ v)
+            rate = 1 / (penalty * step + 1)
+            (x, v), y = rows[i], signs[i]
+            short = y * (y * (v @ w[x]) < 1 / scale)
             scale *= 1 - rate * penalty
-            if margin < 1:
-                w[x] += (rate * y[i] / scale) * v
-            if step > steps // 2 and step % 50 == 0:
+            if short.any():
+                w[x] += v[:, None] * (short * (rate / scale))
+            if step > steps // 2 and step % 400 == 0:
                 total += scale * w
                 kept += 1
-    return total / max(kept, 1)
+    return total / kept if kept else scale * w
 
 
 def _row(words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of words' features with their counts, scaled to unit length."""
-    buckets, counts = np.unique([f for w in words for f in w], return_counts=True)
-    return buckets, counts / np.sqrt((counts**2).sum())
+    counts = Counter(chain.from_iterable(words))
+    values = np.fromiter(counts.values(), float, len(counts))
+    return np.fromiter(counts, np.int64, len(counts)), values / np.sqrt(values @ values)
 
 
 class Discriminator:
@@ -100,27 +106,25 @@ class Discriminator:
         # pieces of a few words, as the shortest lines that count have no more
         pieces = [(w[i : i + PIECE_WORDS], lang) for line, lang in lines for w in [line_words(line)] for i in range(0, len(w), PIECE_WORDS)]
         known: dict[str, list[int]] = {w: features(w) for w in {w for ws, _ in pieces for w in ws}}
-        data = [(_row([known[w] for w in ws]), lang) for ws, lang in pieces]
+        rows = [_row([known[w] for w in ws]) for ws, _ in pieces]
+        langs = np.array([LANGUAGES.index(lang) for _, lang in pieces], int)
         self.weights, self.scale = np.zeros((BUCKETS, 1 + len(PAIRS)), np.float32), np.ones(1 + len(PAIRS))
-        for round_ in range(2):
-            if round_:
-                margins = np.array([v @ self.weights[x] for (x, v), _ in data])
-                data = [d for d, k in zip(data, self.decide(margins)[0]) if LANGUAGES[k] == d[1]]
-            self._fit(data, seed, 3 if round_ else 1)
+        right = np.ones(len(rows), bool)
+        for epochs in (1, 3):
+            self._fit([r for r, ok in zip(rows, right) if ok], langs[right], seed, epochs)
+            right = self.decide(np.array([v @ self.weights[x] / v.sum() for x, v in rows]).reshape(-1, 1 + len(PAIRS)))[0] == langs
 
-    def _fit(self, data: list[tuple], seed: int, epochs: int) -> None:
+    def _fit(self, rows: list[tuple], langs: np.ndarray, seed: int, epochs: int) -> None:
         first = next(iter(FAMILIES))
-        tasks = [([row for row, _ in data], [1 if _FAMILY_OF[lang] == first else -1 for _, lang in data])]
-        for a, b in PAIRS:
-            own = [(row, 1 if lang == a else -1) for row, lang in data if lang in (a, b)]
-            tasks.append(([row for row, _ in own], [sign for _, sign in own]))
-        for k, (rows, y) in enumerate(tasks):
-            if not rows:
-                continue
-            self.weights[:, k] = w = _svm(rows, np.array(y, float), seed + k, epochs)
-            # margins of lines are means over features; the logistic slope is that at which the sample's typical one is 99 percent
-            typical = np.median([abs(w[x] @ v) / v.sum() for x, v in rows])
-            self.scale[k] = np.log(99) / max(typical, 1e-12)
+        signs = np.zeros((len(rows), 1 + len(PAIRS)))
+        for n, lang in enumerate(LANGUAGES):
+            signs[langs == n] = [1 if _FAMILY_OF[lang] == first else -1, *((lang == a) - (lang == b) for a, b in PAIRS)]
+        self.weights[:] = _svms(rows, signs, seed, epochs)
+        # margins of lines are means over features; the logistic slope is that at which the sample's typical one is 99 percent
+        margins = np.abs(np.array([v @ self.weights[x] / v.sum() for x, v in rows]).reshape(-1, 1 + len(PAIRS)))
+        for k in range(1 + len(PAIRS)):
+            own = margins[signs[:, k] != 0, k]
+            self.scale[k] = np.log(99) / max(np.median(own), 1e-12) if len(own) else 1.0
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of rows of margins the numbers in ``LANGUAGES`` and the confidences, from 0 to 1: the family's times the least within it."""
@@ -178,20 +182,29 @@ class Scorer:
         return [(LANGUAGES[b], c) if f else None for b, c, f in zip(best.tolist(), sure.tolist(), found)]
 
 
+def named_language() -> Column:
+    """``label_code`` of the column lang, as an expression."""
+    labels = F.create_map(*(F.lit(x) for pair in sorted(_CODE.items()) for x in pair))
+    return labels[F.split(F.lower(F.trim(F.coalesce("lang", F.lit("")))), r"[-_\s(,;/]")[0]]
+
+
 def sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(line, language) of at most ``rows`` rows of each language, after their labels.
 
-    The rows are those of the least hashes of text and id, found by partial top-k in each task; texts longer than ``chars``
-    aren't fitted on, though they are labelled like any other.
+    The labels are counted first, on their column alone. Then one scan keeps the rows whose hash is under a limit that
+    leaves about four times ``rows`` of each language, wherever they stand, and the least hashes of these are taken. Texts longer
+    than ``chars`` aren't fitted on, though they are labelled like any other.
     """
-    spelled = {code: [n for n in names.split()] for code, names in NAMES.items()}
-    name = F.split(F.lower(F.trim("lang")), r"[-_\s(,;/]")[0]
-    usable = documents.where("text IS NOT NULL").where(F.length("text").between(40, chars)).select("text", name.alias("name"), F.xxhash64("text", "doc_id").alias("h"))
-    lines = []
-    for code in LANGUAGES:
-        top = usable.where(F.col("name").isin(spelled[code])).orderBy("h", "text").limit(rows).select("text")
-        lines += [(line, code) for r in top.collect() for line in r.text.split("\n") if len(line_words(line)) >= 3]
-    return lines
+    code = named_language().alias("code")
+    counts = documents.select(code).groupBy("code").count().where("code IS NOT NULL").collect()
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.code, min(1.0, 4 * rows / r["count"]))))
+    usable = documents.where("text IS NOT NULL").where(F.length("text").between(40, chars)).select("text", code, F.xxhash64("doc_id", "text").alias("h"))
+    few = usable.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("code")] * (1 << 30))
+    order = W.partitionBy("code").orderBy("h", "text")
+    top = few.withColumn("no", F.row_number().over(order)).where(F.col("no") <= rows).orderBy("code", "no").collect()
+    return [(line, r.code) for r in top for line in r.text.split("\n") if len(line_words(line)) >= 3]
 
 
 def languages(documents: DataFrame, model: Discriminator | None = None, min_words: int = 8) -> DataFrame:
@@ -245,8 +258,6 @@ def wrong_labels(found: DataFrame, min_words: int = 8) -> DataFrame:
     Each line row carries its document's main language, ``main``, so that no join is needed. Documents without a main
     language have no case.
     """
-    labels = F.create_map(*(F.lit(x) for pair in sorted(_CODE.items()) for x in pair))
-    code = labels[F.split(F.lower(F.trim(F.coalesce("lang", F.lit("")))), r"[-_\s(,;/]")[0]]
-    wrong = (F.col("seg_no") == 0) & (F.col("words") >= min_words) & ~code.eqNullSafe(F.col("main"))
+    wrong = (F.col("seg_no") == 0) & (F.col("words") >= min_words) & ~named_language().eqNullSafe(F.col("main"))
     mixed = (F.col("seg_no") > 0) & (F.col("seg_lang") != F.col("main"))
     return found.where(F.col("main").isNotNull() & F.col("seg_lang").isNotNull()).where(wrong | mixed)
