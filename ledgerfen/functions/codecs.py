@@ -43,6 +43,27 @@ def unfix_hex(digits: Column, size: int) -> Column:
     return F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))), 16, 10).cast("long")
 
 
+def pointer_hex(file_id: Column, offset: Column, size: Column) -> Column:
+    """The sixteen bytes of a pointer."""
+    return F.concat(fixed_hex(file_id, 4), fixed_hex(offset, 8), fixed_hex(size, 4))
+
+
+def pointer_of(digits: Column) -> Column:
+    """The struct of a pointer's bytes; offsets are below 2**56."""
+    part = lambda at, size: unfix_hex(F.substring(digits, 2 * at + 1, 2 * size), size)
+    return F.struct(part(0, 4).alias("file_id"), part(4, 7).alias("offset"), part(12, 4).alias("value_size"))
+
+
+def prefixed_hex(text: Column) -> Column:
+    """A string's bytes after their number as a varint."""
+    return F.concat(varint_hex(F.octet_length(text)), F.hex(F.encode(text, "UTF-8")))
+
+
+def status_text(code: Column, message: Column) -> Column:
+    """``OK``, or the code and, when there is one, its message."""
+    return F.when(code == "OK", "OK").when(F.coalesce(message, F.lit("")) == "", code).otherwise(F.concat(code, F.lit(": "), message))
+
+
 def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):

@@ -136,6 +136,12 @@ def memtable_runs(mutations: DataFrame, limit: int = MEMTABLE_BYTES, shards: int
     return fold(rows, "shard", ["seq"], {"run_id": "bigint"}, lambda part: _Memtable(), step).drop("charge")
 
 
+def memtable_usage(runs: DataFrame) -> DataFrame:
+    """(shard, run_id, entries, bytes) of each memtable: its keys and what they are charged."""
+    keys = runs.select("shard", "run_id", "key").distinct()
+    return keys.groupBy("shard", "run_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("key") + KEY_CHARGE).cast("long").alias("bytes"))
+
+
 class _Output:
     def __init__(self) -> None:
         self.file, self.used = 0, 0

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bloom_bits, bloom_h1, bloom_h2, bloom_hashes, bloom_positions, varint_length
-from ..session import if_small
+from ..functions.codecs import bloom_bits, bloom_h1, bloom_h2, bloom_hashes, varint_length
+from ..session import if_small, materialize
 from .folds import split_outputs
 from .kvlog import DELETE, POINTER, latest_listing
 from .small_files import entry_bytes, true_sizes
@@ -129,16 +127,20 @@ def layered_get(entries: DataFrame) -> DataFrame:
     return entries.groupBy("db_id", "key").agg(first).select("db_id", "key", "r.level", "r.sst_id", "r.seq", "r.vtype")
 
 
-def overlap_inputs(manifest: DataFrame, level: int) -> DataFrame:
+def overlap(files: DataFrame, level: int) -> DataFrame:
     """(db_id, file_id, level) of what a compaction of ``level`` reads: its files, and those of the next level that touch the
     hull of their keys, also in gaps between them. The hulls are one row a database."""
-    files = latest_listing(manifest).where("removed_at IS NULL")
     own = files.where(F.col("level") == level)
     hull = own.groupBy("db_id").agg(F.min("smallest_key").alias("lo"), F.max("largest_key").alias("hi"))
     nxt = files.where(F.col("level") == level + 1).join(hull, "db_id").where("smallest_key <= hi AND largest_key >= lo")
     return own.select("db_id", "file_id", "level").unionByName(nxt.select("db_id", "file_id", "level"))
 
 
+def overlap_inputs(manifest: DataFrame, level: int) -> DataFrame:
+    """``overlap`` of the current files of a manifest."""
+    return overlap(latest_listing(manifest).where("removed_at IS NULL"), level)
+
+
 def merge(entries: DataFrame, inputs: DataFrame, level: int) -> DataFrame:
     """(db_id, key, seq, vtype, pointer, dropped): the newest entry of each key of the input files; ``dropped`` marks the
     tombstones of keys that no file of a level from ``level`` + 2 on has, tombstones there included."""
@@ -156,6 +158,29 @@ def compact_level(entries: DataFrame, inputs: DataFrame, level: int, limit: int)
     return split_outputs(kept, "db_id", ["key"], "size", limit).drop("size")
 
 
+def compact_range(entries: DataFrame, limit: int, levels: int = LEVELS) -> DataFrame:
+    """``entries`` (db_id, sst_id, level, pos and the entry) after compacting every level but the last, from the first one on.
+
+    What a level has moves to the next one, merged with the files there that it touches; in the end all is in the last level.
+    New files are numbered above those of their database. Each level's outcome is written down, as the next one's inputs
+    follow from its files.
+    """
+    columns = ["db_id", "sst_id", "level", "pos", "key", "vtype", "seq", *POINTER]
+    now = materialize(entries.select(columns), "level")
+    for level in range(levels - 1):
+        files = now.groupBy("db_id", F.col("sst_id").alias("file_id"), "level").agg(F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"))
+        inputs = materialize(overlap(files, level), "inputs")
+        if inputs.isEmpty():
+            continue
+        top = now.groupBy("db_id").agg(F.max("sst_id").alias("top"))
+        order = W.partitionBy("db_id", "sst_id").orderBy("key")  # a file is bounded by the limit
+        out = compact_level(now, inputs, level, limit).join(top, "db_id").withColumn("sst_id", F.col("top") + 1 + F.col("out_no"))
+        out = out.withColumns({"level": F.lit(level + 1), "pos": (F.row_number().over(order) - 1).cast("long")})
+        gone = if_small(inputs.select("db_id", F.col("file_id").alias("sst_id")), inputs.count())
+        now = materialize(now.join(gone, ["db_id", "sst_id"], "left_anti").select(columns).unionByName(out.select(columns)), "level")
+    return now
+
+
 def after_compaction(entries: DataFrame, inputs: DataFrame, level: int) -> DataFrame:
     """The live state of all current files after the compaction: merged entries in place of those of the input files."""
     files = if_small(inputs.select("db_id", F.col("file_id").alias("sst_id")), inputs.count())

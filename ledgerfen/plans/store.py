@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..operators import changes, folds, logs, lsm, protocol, reclaim, state, stats
 from ..operators.kvlog import POINTER, latest_listing
-from ..operators.ordered import numbered
 from ..session import load, materialize, scratch
 from ..sources import logfiles, store
 from ..streaming import state as stream_state
@@ -129,6 +128,10 @@ def memtable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("seq", "key", "vtype", "run_id")
 
 
+def memtable_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.memtable_usage(_runs(spark, sf_dir)).drop("shard")
+
+
 def flush_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.flush(_runs(spark, sf_dir)).drop("shard")
 
@@ -244,6 +247,11 @@ def state_after_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(there, POINTER).select("key", "seq", "value")
 
 
+def compact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels compacted one after the other: the live entries and where they are in the end."""
+    return lsm.compact_range(_current(spark, sf_dir), SEGMENT).where("vtype = 1").select("db_id", "level", "key", "seq")
+
+
 # reclaiming
 
 
@@ -315,6 +323,19 @@ def crc32c_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", codecs.crc32c_of("key").alias("crc"))
 
 
+def codec_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers of the table files as bytes, and back; keys with their length before them."""
+    digits = codecs.pointer_hex(F.col("file_id"), F.col("offset"), F.col("value_size"))
+    rows = load(spark, sf_dir, "sst").select("key", *POINTER).distinct().withColumn("digits", digits)
+    return rows.select("key", codecs.prefixed_hex(F.col("key")).alias("prefixed"), "digits", codecs.pointer_of(F.col("digits")).alias("p")).select("key", "prefixed", "digits", "p.*")
+
+
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of the log table are called, their size and records, from the scan's own metadata."""
+    rows = load(spark, sf_dir, "wal").select("_metadata.file_name", "_metadata.file_size")
+    return rows.groupBy("file_name", "file_size").agg(F.count(F.lit(1)).alias("records"))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of value-log segments and the numbers read from them."""
     name = F.format_string("vlog_%05d.dat", F.col("file_id"))
@@ -343,10 +364,10 @@ QUERIES = {
     for f in (
         kv_latest_state, kv_latest_state_lines, kv_snapshot, kv_point_get, kv_multi_get, kv_put_delete_batch, kv_range_scan, kv_prefix_scan,
         kv_reverse_scan, kv_seek, kv_tombstones, kv_version_history, vlog_layout, vlog_layout_large, vlog_deref, wal_valid_prefix,
-        wal_replay_state, wal_next_seq, crc32c_records, wal_file_round_trip, memtable_runs, flush_l0, sst_manifest, manifest_round_trip,
+        wal_replay_state, wal_next_seq, crc32c_records, wal_file_round_trip, memtable_runs, memtable_usage, flush_l0, sst_manifest, manifest_round_trip,
         sst_sorted, sst_round_trip, sparse_index, sparse_lookup, bloom_semi, bloom_fpr, layered_get, compact_overlap_inputs, compact_merge,
-        compact_tombstone_drop, compact_split, compaction_policy, state_after_compaction, state_after_replay, gc_segment_ratio,
+        compact_tombstone_drop, compact_split, compaction_policy, compact_range, state_after_compaction, state_after_replay, gc_segment_ratio,
         gc_candidate, gc_rewrite, state_after_gc, db_stats, protocol_parse, protocol_reply, cli_reply, codec_varint, codec_fixed,
-        crc32c_keys, file_names, stream_latest_state,
+        codec_pointer, crc32c_keys, file_names, file_sizes, stream_latest_state,
     )
 }

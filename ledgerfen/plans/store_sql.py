@@ -147,6 +147,7 @@ ORACLE = {
         c AS (SELECT db_id, wal_id, rec_no, crc, {_crc(_BODY)} AS computed FROM rec, tab) SELECT DISTINCT *, coalesce(crc = computed, false) AS ok FROM c""",
     "wal_file_round_trip": f'WITH {_PREFIX} SELECT db_id, wal_id, seq, key, vtype, CASE WHEN vtype = 1 THEN file_id END AS file_id, CASE WHEN vtype = 1 THEN "offset" END AS "offset", CASE WHEN vtype = 1 THEN value_size END AS value_size FROM good',
     "memtable_runs": f"{_RUNS} SELECT seq, key, vtype, run_id FROM run",
+    "memtable_usage": f"{_RUNS} SELECT run_id, count(DISTINCT key) AS entries, CAST(sum(length(key) + 88) AS BIGINT) AS bytes FROM (SELECT DISTINCT run_id, key FROM run) GROUP BY run_id",
     "flush_l0": f"{_RUNS} SELECT run_id, pos, key, seq, vtype FROM flushed",
     "sst_manifest": f"""{_RUNS} SELECT run_id, count(*) AS num_entries, min(key) AS smallest_key, max(key) AS largest_key,
         CAST(sum(length(key) + 26 + CASE WHEN pos % 16 = 0 THEN length(key) + 9 ELSE 0 END) + 4 + ceil(greatest(64, 10 * count(*)) / 8) + 48 AS BIGINT) AS file_size FROM flushed GROUP BY run_id""",
@@ -178,6 +179,7 @@ ORACLE = {
         SELECT g.db_id, g.level, coalesce(h.files, 0) AS files, CAST(coalesce(h.bytes, 0) AS BIGINT) AS bytes, CASE WHEN g.level > 0 THEN CAST(10485760 * pow(10, g.level - 1) AS BIGINT) END AS byte_limit,
           CASE WHEN g.level = 0 THEN coalesce(h.files, 0) >= 4 ELSE coalesce(h.bytes, 0) > 10485760 * pow(10, g.level - 1) END AS due
         FROM grid g LEFT JOIN have h ON h.db_id = g.db_id AND h.level = g.level""",
+    "compact_range": f"WITH {_CUR} SELECT db_id, 6 AS level, key, seq FROM (SELECT * FROM cur QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY seq DESC) = 1) WHERE vtype = 1",
     "state_after_compaction": f"WITH {_CUR} SELECT db_id, key, seq FROM (SELECT * FROM cur QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY seq DESC) = 1) WHERE vtype = 1",
     "state_after_replay": f"{_E} SELECT key, seq, coalesce(value, '') AS value FROM last WHERE vtype = 1",
     "gc_segment_ratio": f"WITH {_GARBAGE} SELECT * FROM ratio",
@@ -203,6 +205,10 @@ ORACLE = {
         SELECT l_orderkey, l_partkey, bytes, array_to_string([format('{:02X}', ((v >> (7 * i)) & 127) + CASE WHEN i + 1 < bytes THEN 128 ELSE 0 END) for i in range(bytes)], '') AS digits FROM n""",
     "codec_fixed": """SELECT o_orderkey, array_to_string([format('{:02X}', ((o_orderkey * 7) >> (8 * i)) & 255) for i in range(4)], '') AS digits,
         array_to_string([format('{:02X}', (o_custkey >> (8 * i)) & 255) for i in range(8)], '') AS wide, o_orderkey * 7 AS again FROM orders""",
+    "codec_pointer": f"""WITH d AS (SELECT DISTINCT key, file_id, "offset", value_size, {_BYTES("key")} AS k FROM sst),
+        b AS (SELECT *, list_concat({_le("file_id", 4)}, {_le('"offset"', 8)}, {_le("value_size", 4)}) AS p FROM d)
+        SELECT key, format('{{:02X}}', (k & 127) + CASE WHEN k >= 128 THEN 128 ELSE 0 END) || CASE WHEN k >= 128 THEN format('{{:02X}}', k >> 7) ELSE '' END || hex(encode(key)) AS prefixed,
+          array_to_string([format('{{:02X}}', x) for x in p], '') AS digits, file_id, "offset", value_size FROM b""",
     "crc32c_keys": f"WITH {_CRC}, k AS (SELECT DISTINCT key FROM wal WHERE key IS NOT NULL) SELECT key, {_crc('(' + _KEY_BYTES + ')::UBIGINT[]')} AS crc FROM k, tab",
     "file_names": "SELECT DISTINCT db_id, file_id, format('vlog_{:05d}.dat', file_id) AS name, file_id AS number FROM segments",
     "stream_latest_state": f"{_E} SELECT key, seq, value FROM last WHERE vtype = 1",

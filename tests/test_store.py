@@ -411,3 +411,30 @@ def test_queries_agree_with_their_sql(spark, sf_dir):
         theirs, names = cur.fetchall(), [d[0] for d in cur.description]
         assert sorted(df.columns) == sorted(names), name
         assert compare.bag(df.columns, df.collect()) == compare.bag(names, theirs), name
+
+
+def test_compacting_all_levels_keeps_the_state(spark):
+    rng, sst, seq = random.Random(11), [], 0
+    for level, files in ((3, 1), (2, 2), (1, 2), (0, 3)):
+        for f in range(files):
+            keys = sorted(rng.sample([f"k{i:02d}" for i in range(30)], 8))
+            for p, key in enumerate(keys):
+                seq += 1
+                sst.append((1, level, 100 * (4 - level) + f, p, key, rng.choice([1, 1, 2]), seq, 1, seq, 1))
+    entries = spark.createDataFrame(sst, SST)
+    before = rows(state.live(state.latest(entries, ["key"], ["vtype"])).select("key", "seq"))
+    after = lsm.compact_range(entries, 100, levels=4)
+    assert rows(state.live(state.latest(after, ["key"], ["vtype"])).select("key", "seq")) == before
+    assert {r.level for r in after.select("level").distinct().collect()} == {3}
+    assert after.groupBy("sst_id", "pos").count().where("count > 1").count() == 0
+    assert lsm.compact_range(entries.limit(0), 100, levels=4).count() == 0
+
+
+def test_pointers_prefixes_and_status(spark):
+    df = spark.createDataFrame([(1, 2**40 + 5, 7, "é"), (None, None, None, None)], "f long, o long, s long, k string")
+    digits = codecs.pointer_hex(F.col("f"), F.col("o"), F.col("s"))
+    got = df.select(digits.alias("d"), codecs.pointer_of(digits).alias("p"), codecs.prefixed_hex(F.col("k")).alias("k")).collect()
+    assert got[0].d == "01000000" + "0500000000010000" + "07000000" and tuple(got[0].p) == (1, 2**40 + 5, 7) and got[0].k == "02C3A9"
+    assert got[1].d is None and got[1].k is None
+    texts = spark.createDataFrame([("OK", "x"), ("NotFound", "gone"), ("IOError", None)], "c string, m string").select(codecs.status_text(F.col("c"), F.col("m")).alias("t"))
+    assert [r.t for r in texts.collect()] == ["OK", "NotFound: gone", "IOError"]
