@@ -1,22 +1,29 @@
 """The order-dependent folds: segment rotation, memtable packing and the splitting of outputs.
 
-Where a record goes depends on all before it in its shard, so a shard is one stream: its rows are sorted and pass through one
-task in Arrow batches, with a state of a few numbers (memtable packing: the keys of one memtable); a shard is never gathered.
-The shards are the unit of scale: independent stores by hash of the key, as many as the data need. With one shard the
-layout is that of a single store.
+Where a record goes depends on all before it in its shard. The rotation is nevertheless done in parallel and exactly: a block
+of records is summed up by where each possible first rotation in it leads to, the blocks' sums are put together one after the
+other, and then each block is laid out from the place that it is now known to begin at. The other two are one stream for each
+shard: its rows are sorted and pass through one task in Arrow batches, with a state of a few numbers (memtable packing: the
+keys of one memtable); a shard is never gathered. Shards are independent stores by hash of the key, as many as the data need.
+With one shard the layout is that of a single store.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .kvlog import PUT
 
+#: Segments that a block of the rotation has at least, and its rows, about; logs of fewer rows are one stream.
+BLOCK_SEGMENTS, BLOCK_ROWS = 16, 500_000
 SEGMENT_BYTES, MEMTABLE_BYTES = 256 << 20, 4 << 20
 #: Bytes that a memtable is charged for a key besides its length, on its first insertion.
 KEY_CHARGE = 88
@@ -78,7 +85,7 @@ class _Segments:
         return files, offsets
 
 
-def vlog_layout(mutations: DataFrame, limit: int = SEGMENT_BYTES, shards: int = 1, first: tuple[int, int] = (1, 0), extra: tuple = ()) -> DataFrame:
+def vlog_layout(mutations: DataFrame, limit: int = SEGMENT_BYTES, shards: int = 1, first: tuple[int, int] = (1, 0), extra: tuple = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(shard, seq, key, value_size, rec_size, file_id, offset) of the puts in the order of ``seq``, appended from ``first`` on.
 
     ``extra`` columns pass through. A record longer than a segment has one of its own. Null keys and values have no bytes.
@@ -86,6 +93,10 @@ def vlog_layout(mutations: DataFrame, limit: int = SEGMENT_BYTES, shards: int =
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
     puts = mutations.where((F.col("vtype") == PUT) & F.col("seq").isNotNull())
     rows = puts.select(shard_of("key", shards).alias("shard"), "seq", "key", size("value").alias("value_size"), (size("key") + size("value") + 13).alias("rec_size"), *extra)
+    total = rows.agg(F.sum("rec_size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    blocks = min((total.bytes or 0) // (BLOCK_SEGMENTS * limit), -(-total.n // block_rows))
+    if blocks > 1:
+        return _rotate_blocks(rows, limit, first, blocks)
     at = rows.columns.index("rec_size")
 
     def step(state: _Segments, part: pa.RecordBatch) -> dict:
@@ -95,6 +106,82 @@ def vlog_layout(mutations: DataFrame, limit: int = SEGMENT_BYTES, shards: int =
     return fold(rows, "shard", ["seq"], {"file_id": "bigint", "offset": "bigint"}, lambda part: _Segments(*first, limit), step)
 
 
+def summarize(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
+    """Where the first rotation in a block leads to: (upto, rotations, offset at the end) for each place it can be at.
+
+    The first rotation is at the first record whose end in the block is beyond what the open segment had left; ``upto`` is
+    that end. Neighbouring places that lead to the same are one, as most are: streams that begin apart soon fall in step.
+    Only records that end within a segment's length from the block's start, and the one after, can be the first.
+    """
+    n, ends = len(sizes), np.cumsum(sizes)
+    starts = ends - sizes
+    follow = np.maximum(np.arange(n) + 1, np.searchsorted(ends, starts + limit, "right")).tolist()
+    rotations, offsets, total = [1] * n, [0] * n, int(ends[-1])
+    for i in range(n - 1, -1, -1):
+        q = follow[i]
+        if q < n:
+            rotations[i], offsets[i] = rotations[q] + 1, offsets[q]
+        else:
+            offsets[i] = total - int(starts[i])
+    upto, out_rotations, out_offsets = [], [], []
+    for i in range(min(n, max(2, int(np.searchsorted(ends, limit, "right")) + 1))):
+        if upto and (out_rotations[-1], out_offsets[-1]) == (rotations[i], offsets[i]):
+            upto[-1] = int(ends[i])
+        else:
+            upto.append(int(ends[i]))
+            out_rotations.append(rotations[i])
+            out_offsets.append(offsets[i])
+    return upto, out_rotations, out_offsets
+
+
+def after_block(file_id: int, offset: int, limit: int, first_size: int, total: int, pieces: tuple[list, list, list]) -> tuple[int, int]:
+    """The open segment and its length after a block, given those before it."""
+    upto, rotations, offsets = pieces
+    left = limit - offset if offset else max(limit, first_size)  # an empty segment takes any record
+    at = bisect_right(upto, left)
+    if at == len(upto):
+        return file_id, offset + total
+    return file_id + rotations[at], offsets[at]
+
+
+def _rotate_blocks(rows: DataFrame, limit: int, first: tuple[int, int], blocks: int) -> DataFrame:
+    """The rotation by blocks of at least ``BLOCK_SEGMENTS`` segments; records have bytes, as their heads alone have thirteen.
+
+    What one task sees of the whole shard is a few numbers for each block.
+    """
+    flat = materialize(rows.repartitionByRange(blocks, "shard", "seq").withColumn("_part", F.spark_partition_id()), "blocks")
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values("seq")["rec_size"].to_numpy()
+        upto, rotations, offsets = summarize(sizes, limit)
+        return pd.DataFrame([(pdf["shard"].iloc[0], pdf["_part"].iloc[0], sizes[0], sizes.sum(), upto, rotations, offsets)])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, (file_id, offset) = [], first
+        for r in pdf.sort_values("_part").itertuples():
+            out.append((r.shard, r[2], file_id, offset))
+            file_id, offset = after_block(file_id, offset, limit, r.first_size, r.total, (list(r.upto), list(r.rotations), list(r.offsets)))
+        return pd.DataFrame(out)
+
+    sums = flat.select("shard", "_part", "seq", "rec_size").groupBy("shard", "_part").applyInPandas(
+        summary, "shard int, _part int, first_size bigint, total bigint, upto array<bigint>, rotations array<bigint>, offsets array<bigint>"
+    )
+    begins = sums.groupBy("shard").applyInPandas(compose, "shard int, _part int, _file bigint, _offset bigint")
+    # a row for each block and for each shard that begins inside one
+    units = flat.join(F.broadcast(begins), ["shard", "_part"]).withColumn("_unit", F.concat_ws("/", "shard", "_part"))
+    names = units.columns
+
+    def start(part: pa.RecordBatch) -> _Segments:
+        return _Segments(part.column(names.index("_file"))[0].as_py(), part.column(names.index("_offset"))[0].as_py(), limit)
+
+    def step(state: _Segments, part: pa.RecordBatch) -> dict:
+        files, offsets = state.place(part.column(names.index("rec_size")).to_numpy(zero_copy_only=False))
+        return {"file_id": files, "offset": offsets}
+
+    placed = fold(units, "_unit", ["seq"], {"file_id": "bigint", "offset": "bigint"}, start, step)
+    return placed.select(*rows.columns, "file_id", "offset")
+
+
 def append_layout(records: DataFrame, shard: str, order: list[str], size: str, first_file: str, first_offset: str, limit: int) -> DataFrame:
     """``records`` with (new_file_id, new_offset): each shard's records appended to its open segment, given in each row."""
     names = records.columns

@@ -72,9 +72,19 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/ledgerfen/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has in the shared folder; DataFrames that read from there can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

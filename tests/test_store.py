@@ -161,12 +161,32 @@ def test_rotation_by_batches(spark):
         assert got == slow_rotation(sizes, 50)
 
 
+def test_blocks_of_the_rotation_fit_together():
+    rng = random.Random(8)
+    for _ in range(500):
+        limit = rng.choice([1, 20, 50])
+        sizes = [rng.choice([1, 2, 7, 19, 30, 90]) for _ in range(rng.randrange(1, 60))]
+        state = file_id, offset = 1, rng.choice([0, 0, 5, 49, 200])
+        whole, i = slow_rotation(sizes, limit, file_id, offset), 0
+        while i < len(sizes):
+            block = np.array(sizes[i : i + rng.randrange(1, 25)], np.int64)
+            files, offsets = folds._Segments(*state, limit).place(block)
+            assert list(zip(files.tolist(), offsets.tolist())) == whole[i : i + len(block)]
+            state = folds.after_block(*state, limit, int(block[0]), int(block.sum()), folds.summarize(block, limit))
+            i += len(block)
+            assert state == (whole[i - 1][0], whole[i - 1][1] + sizes[i - 1])
+
+
 def test_layout_and_shards(spark):
     data = random_log()
     puts = sorted(d for d in data if d[2] == 1)
     sizes = [len(k.encode()) + len(v.encode()) + 13 for _, k, _, v in puts]
     got = [(r.file_id, r.offset) for r in folds.vlog_layout(log(spark, data), 100).orderBy("seq").collect()]
     assert got == slow_rotation(sizes, 100)
+    blocks = folds.vlog_layout(log(spark, data), 100, block_rows=40)
+    assert [(r.file_id, r.offset) for r in blocks.orderBy("seq").collect()] == got
+    plain, split = (folds.vlog_layout(log(spark, data), 60, shards=3, block_rows=n).orderBy("seq").collect() for n in (10**6, 50))
+    assert plain == split
     sharded = folds.vlog_layout(log(spark, data), 100, shards=3)
     assert sharded.count() == len(puts) and sharded.groupBy("key").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
     assert folds.vlog_layout(log(spark, []), 100).count() == 0
