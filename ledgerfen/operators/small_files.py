@@ -157,7 +157,7 @@ class SnapshotStore:
         """Replace the partitions in ``rows`` by ``rows``, which were computed from version ``base``; the new version's number."""
         self.recover()
         staged = f"{self.path}/staged/{scratch(self.spark, 'change').rsplit('-', 1)[1]}"
-        rows.write.partitionBy(*self.SPEC).parquet(staged)
+        self._gathered(rows).write.partitionBy(*self.SPEC).parquet(staged)
         found = self.spark.read.parquet(staged).select(*self.SPEC).distinct().collect() if self._has_data(staged) else []
         parts = sorted(f"{r.db_id}/{r.level}" for r in found)
         latest = self.version()
@@ -167,12 +167,16 @@ class SnapshotStore:
         self._apply(latest + 1, staged)
         return latest + 1
 
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        """A partition's rows in one task, or in several of the advisory size when it is large: few files, none of them huge."""
+        return rows.hint("rebalance", *self.SPEC).sortWithinPartitions(*self.SPEC, "sst_id", "pos")
+
     def _has_data(self, path: str) -> bool:
         return any(x.getPath().getName().startswith("db_id=") for x in self._fs.listStatus(self._fs_path(path)))
 
     def _apply(self, version: int, staged: str) -> None:
         if self._has_data(staged):
-            rows = self.spark.read.parquet(staged)
+            rows = self._gathered(self.spark.read.parquet(staged))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.SPEC).parquet(f"{self.path}/data")
         self._create(f"{version:012d}.done", "")
         self._fs.delete(self._fs_path(staged), True)
@@ -189,11 +193,13 @@ class SnapshotStore:
 def compact(store: SnapshotStore, sst: DataFrame, manifest: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rewrite the partitions of ``store`` that have too many small files; (plan, the store's rows of those partitions).
 
-    The rows of the other current files of a rewritten partition are kept as they are. New files get numbers above all those
+    The rows of the other current files of a rewritten partition are kept as they are. Files of null level are in no
+    level that could be rewritten and are left alone. New files get numbers above all those
     in use in their database, in the order of lane and bin, so a repeated run names them alike.
     """
     base = store.version()
-    plan = materialize(plan_merges(find_small_files(manifest, sst, small_bytes, min_files), target_bytes), "plan")
+    small = find_small_files(manifest, sst, small_bytes, min_files).where("level IS NOT NULL")
+    plan = materialize(plan_merges(small, target_bytes), "plan")
     listed = latest_listing(manifest)
     touched = plan.select("db_id", "level").distinct()
     top = listed.groupBy("db_id").agg(F.max("file_id").alias("top"))

@@ -1,5 +1,6 @@
 """The general operators on small tables with nulls, ties, repeats, empty tables and clashing columns."""
 
+import os
 import random
 
 import pytest
@@ -51,12 +52,12 @@ def test_merging_keeps_every_entry_once(spark):
 def test_store_rewrites_only_the_partitions_concerned(spark):
     sst, manifest = _store(spark)
     store = small_files.SnapshotStore(spark, scratch(spark, "store"))
-    entries = sst.where("db_id = 1 AND level IS NOT NULL").select("db_id", "level", "sst_id", "pos", *small_files.ENTRY).distinct()
+    entries = sst.where("db_id = 1 AND key IS NOT NULL").select("db_id", "level", "sst_id", "pos", *small_files.ENTRY).distinct()
     store.commit(entries, 0)
-    before = rows(store.read().where("level != 0").select("level", "sst_id", "pos", "key"))
-    plan, after = small_files.compact(store, sst.where("level IS NOT NULL"), manifest.where("level IS NOT NULL"))
+    before = rows(store.read().where("level IS NULL OR level != 0").select("level", "sst_id", "pos", "key"))
+    plan, after = small_files.compact(store, sst.where("key IS NOT NULL"), manifest)
     assert store.version() == 2 and store.changed_since(1) == {"1/0"}
-    assert rows(after.where("level != 0").select("level", "sst_id", "pos", "key")) == before
+    assert rows(after.where("level IS NULL OR level != 0").select("level", "sst_id", "pos", "key")) == before
     old = entries.where("level = 0").select(*small_files.ENTRY)
     assert rows(after.where("level = 0").select(*small_files.ENTRY)) == rows(old)
     assert after.where("level = 0").select("sst_id").distinct().count() == 2
@@ -261,3 +262,17 @@ def test_ledger_reads_its_buckets_without_shuffling_them(spark):
     plan = spark.table(ledger.name).groupBy("db_id", "key").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     ledger.drop()
+
+
+# session
+
+
+def test_scratch_is_cleaned(spark):
+    from ledgerfen.session import clean, materialize
+
+    kept = materialize(spark.range(3), "x")
+    assert kept.count() == 3
+    folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert os.path.isdir(folder)
+    clean(spark)
+    assert not os.path.exists(folder)
