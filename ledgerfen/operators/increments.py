@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import if_small
+from ..sources.commits import Commits
 from .kvlog import POINTER, latest_listing, pointer_of_puts, readable
 
 #: Sequence numbers in a block.
@@ -114,30 +115,24 @@ def pending(contents: DataFrame, run_log: DataFrame) -> DataFrame:
 class IntervalLedger:
     """Intervals of the processed numbers in a folder, committed together with each run's output.
 
-    ``path/run=<n>-<id>`` holds ``output`` and ``intervals`` (all intervals so far); a run counts once the marker
-    ``path/commits/<n>``, which only one run can create, names it. Whatever a failed run has written is never named.
+    ``path/run=<n>-<id>`` holds ``output`` and ``intervals`` (all intervals so far); a run counts once the commit of its
+    number, which only one run can create, names it. Whatever a failed run has written is never named.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self._p = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._p(f"{path}/commits"))
-
-    def _last(self) -> tuple[int, str | None]:
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._p(f"{self.path}/commits")))
-        if not names:
-            return 0, None
-        return int(names[-1]), self.spark.read.text(f"{self.path}/commits/{names[-1]}").first().value
+        self._commits = Commits(spark, f"{path}/commits")
 
     def intervals(self) -> DataFrame:
-        last = self._last()[1]
+        last = self._commits.last()
         schema = "feed string, db_id long, version int, block long, lo long, hi long"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{last}/intervals") if last else self.spark.createDataFrame([], schema)
+        if not last:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{self._commits.read(last)['run']}/intervals")
 
     def run(self, contents: DataFrame, fail_before_commit: bool = False) -> DataFrame:
         """Hand over what isn't processed yet and commit it; the output of this run."""
-        no, _ = self._last()
+        no = self._commits.last()
         rows = versioned(contents).select(*GROUP, "seq")
         before = self.intervals()
         name = f"run={no + 1}-{uuid.uuid4().hex}"
@@ -148,7 +143,5 @@ class IntervalLedger:
         merge_intervals(before.unionByName(to_intervals(out))).write.parquet(f"{at}/intervals")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        f = self._fs.create(self._p(f"{self.path}/commits/{no + 1:012d}"), False)  # fails when another run was faster
-        f.write(bytearray(name.encode()))
-        f.close()
+        self._commits.create(no + 1, {"run": name})  # fails when another run was faster
         return out
