@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .spread import spread
+from .spread import slices, spread
 
 #: Default place of the vocabulary.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -179,11 +179,11 @@ def encode(documents: DataFrame, ranks: str = RANKS, id_column: str = "doc_id",
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _of(Encoder, tokens.value)
-        for batch in it:
+        for batch in slices(it, 1):
             lists = [encoder.encode(x) for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, lists)])
             if ends[-1] > np.iinfo(np.int32).max:
-                raise OverflowError("a batch has too many ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+                raise OverflowError("a text has too many ids for a list")
             flat = np.fromiter((i for x in lists for i in x), np.int32, ends[-1])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_column, "ids"])

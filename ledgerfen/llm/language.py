@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spread import spread
+from .spread import slices, spread
 
 #: The families, and what labels call the languages, in lower case and without region.
 FAMILIES = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr", "pt"]}
@@ -222,7 +222,7 @@ def languages(documents: DataFrame, model: Discriminator | None = None, min_word
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
-        for batch in it:
+        for batch in slices(it, 2):
             at, no, words, lang, sure, mains = [], [], [], [], [], []
             texts = [(t or "").split("\n") for t in batch.column(2).to_pylist()]
             found_of = iter(scorer.lines([x for lines in texts for x in lines]) if scorer else repeat(None))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import spread
+from .spread import slices, spread
 
 #: Words of the items in a block: a broadcast of about 100 MB at the most.
 BLOCK_WORDS = 1_000_000
@@ -187,7 +187,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_match: int, min_longe
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value, min_match)
-            for batch in it:
+            for batch in slices(it, 1):
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 rows = []
                 for doc, numbers, found in index.candidates([words(t) for t in texts]):
