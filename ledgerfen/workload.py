@@ -21,10 +21,10 @@ def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines by shipping date: returned ones delete. Numbered without a global sort in one task."""
     rows = load(spark, sf_dir, "lineitem")
     order = ["l_shipdate", *(c for c in rows.columns if c != "l_shipdate")]
-    rows = numbered(rows, order, "seq")
     vtype = F.when(F.col("l_returnflag") == "R", 2).otherwise(1)
     value = F.when(vtype == 1, F.concat_ws("|", "l_linestatus", F.col("l_linenumber").cast("string")))
-    return rows.select(F.col("seq").cast("long").alias("seq"), F.concat(F.lit("order_"), F.col("l_orderkey")).alias("key"), vtype.alias("vtype"), value.alias("value"))
+    keep = [F.concat(F.lit("order_"), F.col("l_orderkey")).alias("key"), vtype.alias("vtype"), value.alias("value")]
+    return numbered(rows, order, "seq", keep=keep).select("seq", "key", "vtype", "value")
 
 
 def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
