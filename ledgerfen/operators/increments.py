@@ -9,8 +9,9 @@ shuffle, whose groups are small however large a database is.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ CONTENT = ["key", "vtype", *POINTER]
 GROUP = ["feed", "db_id", "version", "block"]
 
 
-def block_of(seq: str = "seq"):
+def block_of(seq: str = "seq") -> Column:
     return F.floor(F.col(seq) / BLOCK).cast("long")
 
 
@@ -65,15 +66,6 @@ def to_intervals(numbers: DataFrame) -> DataFrame:
     return islands.groupBy(*GROUP, "island").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).drop("island")
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """The same set of numbers as disjoint intervals that don't touch. Overlapping, nested and repeated ones are fine."""
-    w = W.partitionBy(*GROUP).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    starts = intervals.select(*GROUP, "lo", "hi", F.when(F.col("lo") <= reach + 1, 0).otherwise(1).alias("starts"))
-    numbered = starts.select(*GROUP, "lo", "hi", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("run"))
-    return numbered.groupBy(*GROUP, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
-
-
 def subtract(available: DataFrame, intervals: DataFrame) -> DataFrame:
     """The rows (feed, db_id, block, seq, version) of ``available`` that no interval covers.
 
@@ -87,8 +79,8 @@ def subtract(available: DataFrame, intervals: DataFrame) -> DataFrame:
     return reach.where("row = 1 AND (reach IS NULL OR reach < seq)").select(*GROUP, "seq")
 
 
-def last_good_reads(run_log: DataFrame) -> DataFrame:
-    """(feed, read_to): the greatest read_at of the good runs of each feed.
+def good_reads(run_log: DataFrame) -> DataFrame:
+    """(feed, read_at) of the good runs.
 
     Of the rows of a run the one with the greatest recorded_at counts (null first; ties by the other fields). A run without
     run_id, feed or read_at is no run.
@@ -96,7 +88,12 @@ def last_good_reads(run_log: DataFrame) -> DataFrame:
     fields = ["recorded_at", "finished_at", "read_at", "feed", "status"]
     last = run_log.where("run_id IS NOT NULL").groupBy("run_id").agg(F.max(F.struct(*fields)).alias("r")).select("r.*")
     good = (F.lower(F.trim("status")) == "succeeded") & F.col("finished_at").isNotNull() & F.col("feed").isNotNull()
-    return last.where(good).groupBy("feed").agg(F.max("read_at").alias("read_to")).where("read_to IS NOT NULL")
+    return last.where(good & F.col("read_at").isNotNull()).select("feed", "read_at")
+
+
+def last_good_reads(run_log: DataFrame) -> DataFrame:
+    """(feed, read_to): the greatest read_at of the good runs of each feed."""
+    return good_reads(run_log).groupBy("feed").agg(F.max("read_at").alias("read_to"))
 
 
 def pending(contents: DataFrame, run_log: DataFrame) -> DataFrame:
@@ -112,36 +109,111 @@ def pending(contents: DataFrame, run_log: DataFrame) -> DataFrame:
     return subtract(rows, done).select("feed", "db_id", "block", "seq").distinct().select("feed", "db_id", "seq")
 
 
+_BLOCK = ["feed", "db_id", "block"]
+_STATE = "feed string, db_id long, version int, block long, lo long, hi long, contents array<bigint>, run long"
+_MARKS = "feed string, db_id long, block long, n long, digest long, run long"
+#: Runs whose intervals lie beside each other before they are written as one.
+MERGE_RUNS = 16
+
+
+def content_hash() -> Column:
+    return F.xxhash64(*CONTENT)
+
+
 class IntervalLedger:
     """Intervals of the processed numbers in a folder, committed together with each run's output.
 
-    ``path/run=<n>-<id>`` holds ``output`` and ``intervals`` (all intervals so far); a run counts once the commit of its
-    number, which only one run can create, names it. Whatever a failed run has written is never named.
+    ``path/run=<n>-<id>`` holds ``output``, ``intervals`` and ``blocks``; a run counts once the commit of its number, which only
+    one run can create, names it. Whatever a failed run has written is never named.
+
+    A content keeps the version under which it was first processed: an interval has the hashes of its numbers' contents, eight
+    bytes a number, in their order. So a content that arrives late with an earlier time gets a version of its own, and none is
+    handed over twice or not at all. ``blocks`` has the number of rows and a digest of each block as it was; a run reads the
+    intervals of the blocks that differ, and writes no others.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self._commits = Commits(spark, f"{path}/commits")
 
-    def intervals(self) -> DataFrame:
+    def _named(self) -> list[str]:
         last = self._commits.last()
-        schema = "feed string, db_id long, version int, block long, lo long, hi long"
-        if not last:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self._commits.read(last)['run']}/intervals")
+        return self._commits.read(last)["runs"] if last else []
+
+    def _newest(self, kind: str, schema: str, of: DataFrame | None = None) -> DataFrame:
+        """Each block's rows from the last run that wrote it; of the blocks ``of``, when given."""
+        at = [f"{self.path}/{r}/{kind}" for r in self._named()]
+        rows = self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+        if of is not None:
+            rows = _of_blocks(rows, of)
+        last = rows.groupBy(*_BLOCK).agg(F.max("run").alias("_run")).select(*(F.col(c).alias(f"_{c}") for c in _BLOCK), "_run")
+        return rows.join(last, _same_block() & (F.col("run") == F.col("_run")), "left_semi")
+
+    def intervals(self) -> DataFrame:
+        """(feed, db_id, version, block, lo, hi, contents) of all that is processed."""
+        return self._newest("intervals", _STATE).drop("run")
 
     def run(self, contents: DataFrame, fail_before_commit: bool = False) -> DataFrame:
-        """Hand over what isn't processed yet and commit it; the output of this run."""
+        """Hand over what isn't processed yet and commit it: (feed, db_id, seq, version, content, seen_at), each content once."""
         no = self._commits.last()
-        rows = versioned(contents).select(*GROUP, "seq")
-        before = self.intervals()
-        name = f"run={no + 1}-{uuid.uuid4().hex}"
-        at = f"{self.path}/{name}"
-        subtract(rows, before).write.parquet(f"{at}/output")
+        at = f"{self.path}/run={no + 1}-{uuid.uuid4().hex}"
+        rows = contents.where("seq IS NOT NULL").select("feed", "db_id", block_of().alias("block"), "seq", *CONTENT, "seen_at")
+        # blocks whose rows are the same as at the last run have nothing new; repeats count, so that no change is missed
+        marks = rows.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("seq", *CONTENT)).alias("digest"))
+        then = self._newest("blocks", _MARKS).select(*(F.col(c).alias(f"_{c}") for c in _BLOCK), F.col("n").alias("_n"), F.col("digest").alias("_digest"))
+        differs = F.col("_n").isNull() | (F.col("n") != F.col("_n")) | (F.col("digest") != F.col("_digest"))
+        marks.join(then, _same_block(), "left").where(differs).select(*marks.columns, F.lit(no + 1).cast("long").alias("run")).write.parquet(f"{at}/blocks")
+        touched = self.spark.read.schema(_MARKS).parquet(f"{at}/blocks").select(*_BLOCK)
+        touched = if_small(touched, touched.count())
+
+        first = _of_blocks(rows, touched).groupBy(*_BLOCK, "seq", *CONTENT).agg(F.min("seen_at").alias("seen_at"))
+        first = first.withColumns({"content": content_hash(), "version": F.lit(None).cast("int"), "new": F.lit(1)})
+        known = self._newest("intervals", _STATE, touched).select(*_BLOCK, "version", F.col("lo"), F.posexplode("contents").alias("i", "content"))
+        known = known.select(*_BLOCK, (F.col("lo") + F.col("i")).alias("seq"), "version", "content", F.lit(0).alias("new"))
+        # all that follows is local to a block
+        both = first.unionByName(known, allowMissingColumns=True).repartition(*_BLOCK)
+        done = F.min("new").over(W.partitionBy(*_BLOCK, "seq", "content")) == 0
+        both = both.withColumn("done", done).where("new = 0 OR NOT done")
+        order = W.partitionBy(*_BLOCK, "seq").orderBy("new", "version", "seen_at", "content")
+        both = both.withColumn("version", F.row_number().over(order) - 1)
+        both.where("new = 1").select("feed", "db_id", "seq", "version", *CONTENT, "seen_at").write.parquet(f"{at}/output")
         # what is committed as processed is what the written output holds, not what a second evaluation would give
-        out = self.spark.read.schema(rows.schema).parquet(f"{at}/output")
-        merge_intervals(before.unionByName(to_intervals(out))).write.parquet(f"{at}/intervals")
+        out = self.spark.read.parquet(f"{at}/output")
+        after = known.drop("new").unionByName(out.select("feed", "db_id", block_of().alias("block"), "seq", "version", content_hash().alias("content")))
+        with_contents(after).withColumn("run", F.lit(no + 1).cast("long")).write.parquet(f"{at}/intervals")
+        runs = [*self._named(), at.rsplit("/", 1)[1]]
+        if len(runs) > MERGE_RUNS:
+            runs = [self._merged(runs, at)]
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        self._commits.create(no + 1, {"run": name})  # fails when another run was faster
+        self._commits.create(no + 1, {"runs": runs, "output": at})  # fails when another run was faster
         return out
+
+    def _merged(self, runs: list[str], at: str) -> str:
+        """The state of ``runs`` as one folder in that of the newest."""
+        self_at = f"{at}/merged"
+        named, self._named = self._named, lambda: runs
+        try:
+            self._newest("intervals", _STATE).write.parquet(f"{self_at}/intervals")
+            self._newest("blocks", _MARKS).write.parquet(f"{self_at}/blocks")
+        finally:
+            self._named = named
+        return f"{at.rsplit('/', 1)[1]}/merged"
+
+
+def _same_block() -> Column:
+    return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _BLOCK))
+
+
+def _of_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of the blocks. A hint on ``blocks`` is kept, as only columns are renamed."""
+    return rows.join(blocks.select(*(F.col(c).alias(f"_{c}") for c in _BLOCK)), _same_block(), "left_semi")
+
+
+def with_contents(numbers: DataFrame) -> DataFrame:
+    """(feed, db_id, version, block, lo, hi, contents): disjoint intervals of (feed, db_id, version, block, seq, content), with
+    the contents of their numbers in order. A number has one content for each version."""
+    w = W.partitionBy(*GROUP).orderBy("seq")
+    islands = numbers.select(*GROUP, "seq", "content", (F.col("seq") - F.row_number().over(w)).alias("island"))
+    own = islands.groupBy(*GROUP, "island").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("c"))
+    return own.select(*GROUP, "lo", "hi", F.col("c.content").alias("contents"))

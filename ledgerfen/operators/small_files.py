@@ -2,20 +2,25 @@
 
 The method is partition-local compaction. A partition is a (db_id, level). ``find_small_files`` lists the small files of the
 partitions that have at least ``min_files`` of them; ``plan_merges`` packs those files into new ones; ``rewrite`` gives the
-entries of the new files; ``SnapshotStore`` keeps a store of entries, partitioned on disk, and replaces only the partitions
-concerned by dynamic overwrite, under version numbers and a conflict check.
+entries of the new files. ``SnapshotStore`` keeps a store of entries, partitioned on disk, in numbered versions. ``compact``
+reads one version and replaces only the partitions concerned, as a dynamic overwrite does: those that are in the rows written.
+The old ones stay as they were for readers of earlier versions, and a change that was computed from a version in which one of
+its partitions has since been replaced is refused.
 """
 
 from __future__ import annotations
 
-import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import if_small, materialize, scratch
+from ..session import if_small, materialize
+from ..sources.commits import Commits, Taken
 from .kvlog import POINTER, latest_listing
+from .ordered import numbered
 
 SMALL_BYTES = 4096
 TARGET_BYTES = 4 << 20
@@ -35,6 +40,11 @@ def entry_bytes() -> Column:
     return key_bytes() + F.when(key_bytes() >= 128, 2).otherwise(1) + 25
 
 
+def index_bytes() -> Column:
+    """Bytes of an entry in the file's index, which has every sixteenth."""
+    return F.when(F.col("pos") % INDEX_INTERVAL == 0, entry_bytes() - 25 + 8).otherwise(0)
+
+
 def file_bytes(body: Column, entries: Column) -> Column:
     """Bytes of a file from those of its entries and index: filter block, footer and what they count."""
     bits = F.greatest(F.lit(64).cast("long"), entries * 10)
@@ -44,14 +54,13 @@ def file_bytes(body: Column, entries: Column) -> Column:
 def true_sizes(sst: DataFrame) -> DataFrame:
     """(db_id, sst_id, entries, bytes) of each file, from its distinct entries.
 
-    Repeated rows count once. A null key counts as an empty one. The first aggregation is on the whole entry and the second
+    Repeated rows count once, whatever other columns they have. A null key counts as an empty one. The first aggregation is on the whole entry and the second
     adds up partial sums, so no file, however large, is gathered in a task.
     """
     entries = sst.where("db_id IS NOT NULL AND sst_id IS NOT NULL").select("db_id", "sst_id", "pos", *ENTRY).distinct()
-    indexed = F.when(F.col("pos") % INDEX_INTERVAL == 0, entry_bytes() - 25 + 8).otherwise(0)
     return (
         entries.groupBy("db_id", "sst_id")
-        .agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + indexed).alias("body"))
+        .agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"))
         .select("db_id", "sst_id", "entries", file_bytes(F.col("body"), F.col("entries")).alias("bytes"))
     )
 
@@ -63,14 +72,31 @@ def find_small_files(manifest: DataFrame, sst: DataFrame, small_bytes: int = SMA
     entries, as listed sizes may be null or wrong; a file without entries is as large as an empty one. Files of null level
     form a partition of their own.
     """
-    current = latest_listing(manifest).where("removed_at IS NULL").select("db_id", "file_id", "level", "smallest_key")
-    sizes = true_sizes(sst).withColumnRenamed("sst_id", "file_id")
+    current = current_files(manifest)
+    sizes = true_sizes(of_files(sst, current, manifest.count())).withColumnRenamed("sst_id", "file_id")
+    return small_of(listed_sizes(current, sizes), small_bytes, min_files)
+
+
+def current_files(manifest: DataFrame) -> DataFrame:
+    return latest_listing(manifest).where("removed_at IS NULL").select("db_id", "file_id", "level", "smallest_key")
+
+
+def of_files(sst: DataFrame, files: DataFrame, count: int) -> DataFrame:
+    """The rows of ``sst`` of the files listed, of which there are at most ``count``; removed files' rows go no further than the scan."""
+    here = files.select(F.col("db_id").alias("_db"), F.col("file_id").alias("_file"))
+    return sst.join(if_small(here, count), (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file")), "left_semi")
+
+
+def listed_sizes(current: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``current`` with the files' entries and bytes; a file without entries is as large as an empty one."""
     empty = file_bytes(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    small = (
-        current.join(sizes, ["db_id", "file_id"], "left")
-        .withColumns({"entries": F.coalesce("entries", F.lit(0)), "bytes": F.coalesce("bytes", empty)})
-        .where(F.col("bytes") < small_bytes)
-    )
+    both = current.join(sizes.select("db_id", "file_id", "entries", "bytes"), ["db_id", "file_id"], "left")
+    return both.withColumns({"entries": F.coalesce("entries", F.lit(0)), "bytes": F.coalesce("bytes", empty)})
+
+
+def small_of(files: DataFrame, small_bytes: int, min_files: int) -> DataFrame:
+    """The files under ``small_bytes`` of the partitions that have ``min_files`` of them."""
+    small = files.where(F.col("bytes") < small_bytes)
     counts = small.groupBy("db_id", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)
     counts = counts.select(F.col("db_id").alias("_db"), F.col("level").alias("_level"))
     same = (F.col("db_id") == F.col("_db")) & F.col("level").eqNullSafe(F.col("_level"))
@@ -98,26 +124,32 @@ def rewrite(sst: DataFrame, plan: DataFrame) -> DataFrame:
 
     In each new file the entries are in the order of their keys, newest first, and are numbered from 0.
     """
-    entries = sst.select("db_id", F.col("sst_id").alias("file_id_"), "pos", *ENTRY).distinct()
+    entries = sst.select("db_id", F.col("sst_id").alias("file_id_"), "pos", *ENTRY)
     files = plan.select(F.col("db_id").alias("db_"), F.col("file_id").alias("old_file"), "level", "lane", "bin")
     files = if_small(files, plan.count())
-    moved = entries.join(files, (F.col("db_id") == F.col("db_")) & (F.col("file_id_") == F.col("old_file")))
+    moved = entries.join(files, (F.col("db_id") == F.col("db_")) & (F.col("file_id_") == F.col("old_file"))).distinct()
     order = W.partitionBy("db_id", "level", "lane", "bin").orderBy("key", F.desc("seq"), "old_file", "pos", *ENTRY[1:])
     pos = (F.row_number().over(order) - 1).cast("long").alias("pos")
     return moved.select("db_id", "level", "lane", "bin", pos, *ENTRY)
 
 
 class ConflictError(RuntimeError):
-    """Someone else committed the version, or changed a partition that this change was computed from."""
+    """Someone else replaced a partition since the version that this change was computed from."""
+
+
+_ROWS = "sst_id long, pos long, key string, vtype int, seq long, file_id long, offset long, value_size long"
+_FILES = "file_id long, entries long, bytes long, smallest_key string"
+#: Every so many versions the commit names all partitions and not only those changed.
+_WHOLE = 16
 
 
 class SnapshotStore:
     """Entries in parquet under ``path``, partitioned by (db_id, level), with numbered versions.
 
-    ``path/data`` holds the partitions and ``path/versions`` a file for each version that names the partitions changed by it.
-    A change is first written in full to ``path/staged``, then claims its version by creating that file, which only one
-    writer can do, and only then overwrites its partitions dynamically. A run that dies after its claim is completed by
-    ``recover``: the overwrite is the same however often it is made.
+    A change is written in full to a folder of its own, ``path/rows/change=<id>``, with its files' sizes in ``path/files``.
+    Then a commit maps its partitions to that folder; the other partitions stay where they are. Folders are never written
+    again, so whoever reads a version sees it whole for as long as it is kept, and a writer that dies leaves only a folder
+    that no version names. ``expire`` deletes the folders of old versions. A level can be null; rows without database aren't kept.
     """
 
     SPEC = ["db_id", "level"]
@@ -126,91 +158,162 @@ class SnapshotStore:
         self.spark, self.path = spark, path
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._fs_path(f"{path}/versions"))
-
-    def _names(self) -> list[str]:
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._fs_path(f"{self.path}/versions")))
+        self._commits, self._numbers = Commits(spark, f"{path}/versions"), Commits(spark, f"{path}/numbers")
 
     def version(self) -> int:
-        return max((int(x.split(".")[0]) for x in self._names()), default=0)
-
-    def _read_text(self, name: str) -> str:
-        return "\n".join(r.value for r in self.spark.read.text(f"{self.path}/versions/{name}").collect())
+        return self._commits.last()
+
+    def _partitions(self, version: int) -> dict[str, str]:
+        """Of each partition of a version the folder that has it."""
+        changes = []
+        for n in range(version, 0, -1):
+            changes.append(self._commits.read(n))
+            if "all" in changes[-1]:
+                break
+        now: dict[str, str | None] = {}
+        for c in reversed(changes):
+            now = dict(c["all"]) if "all" in c else now | c["changed"]
+        return {p: at for p, at in now.items() if at}
 
     def changed_since(self, version: int) -> set[str]:
-        """The partitions changed by later versions; as many as those versions name."""
-        names = [x for x in self._names() if x.endswith(".claim") and int(x.split(".")[0]) > version]
-        return {p for x in names for p in json.loads(self._read_text(x))["partitions"]}
-
-    def _create(self, name: str, text: str) -> None:
-        try:
-            out = self._fs.create(self._fs_path(f"{self.path}/versions/{name}"), False)
-        except Exception as e:
-            raise ConflictError(f"{name} is taken") from e
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data")
-
-    def commit(self, rows: DataFrame, base: int) -> int:
-        """Replace the partitions in ``rows`` by ``rows``, which were computed from version ``base``; the new version's number."""
-        self.recover()
-        staged = f"{self.path}/staged/{scratch(self.spark, 'change').rsplit('-', 1)[1]}"
-        self._gathered(rows).write.partitionBy(*self.SPEC).parquet(staged)
-        found = self.spark.read.parquet(staged).select(*self.SPEC).distinct().collect() if self._has_data(staged) else []
-        parts = sorted(f"{r.db_id}/{r.level}" for r in found)
-        latest = self.version()
-        if (clash := self.changed_since(base) & set(parts)):
-            raise ConflictError(f"changed since version {base}: {sorted(clash)[:5]}")
-        self._create(f"{latest + 1:012d}.claim", json.dumps({"staged": staged, "partitions": parts}))
-        self._apply(latest + 1, staged)
-        return latest + 1
-
-    def _gathered(self, rows: DataFrame) -> DataFrame:
-        """A partition's rows in one task, or in several of the advisory size when it is large: few files, none of them huge."""
-        return rows.hint("rebalance", *self.SPEC).sortWithinPartitions(*self.SPEC, "sst_id", "pos")
-
-    def _has_data(self, path: str) -> bool:
-        return any(x.getPath().getName().startswith("db_id=") for x in self._fs.listStatus(self._fs_path(path)))
-
-    def _apply(self, version: int, staged: str) -> None:
-        if self._has_data(staged):
-            rows = self._gathered(self.spark.read.parquet(staged))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.SPEC).parquet(f"{self.path}/data")
-        self._create(f"{version:012d}.done", "")
-        self._fs.delete(self._fs_path(staged), True)
-
-    def recover(self) -> list[int]:
-        """Complete versions that were claimed by runs that died; their numbers. Call it when no other writer is at work."""
-        names = self._names()
-        open_ = [x for x in names if x.endswith(".claim") and x.replace(".claim", ".done") not in names]
-        for name in open_:
-            self._apply(int(name.split(".")[0]), json.loads(self._read_text(name))["staged"])
-        return [int(x.split(".")[0]) for x in open_]
-
-
-def compact(store: SnapshotStore, sst: DataFrame, manifest: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rewrite the partitions of ``store`` that have too many small files; (plan, the store's rows of those partitions).
-
-    The rows of the other current files of a rewritten partition are kept as they are. Files of null level are in no
-    level that could be rewritten and are left alone. New files get numbers above all those
-    in use in their database, in the order of lane and bin, so a repeated run names them alike.
+        """The partitions changed by later versions."""
+        return {p for n in range(version + 1, self.version() + 1) for p in self._commits.read(n)["changed"]}
+
+    def _table(self, kind: str, schema: str, version: int | None, only: set[str] | None) -> DataFrame:
+        parts = self._partitions(self.version() if version is None else version)
+        folders: dict[str, list[str]] = {}
+        for p, at in parts.items():
+            if only is None or p in only:
+                folders.setdefault(at, []).append(p)
+        root, schema = f"{self.path}/{kind}", f"{schema}, change string, db_id long, level int"
+        paths = []
+        for at, have in folders.items():
+            whole = f"{root}/change={at}"
+            there = self._on_disk(whole)
+            # a folder that is read in whole is one path
+            paths += ([whole] if there <= set(have) else [f"{whole}/{p}" for p in have if p in there]) if there else []
+        if not paths:
+            return self.spark.createDataFrame([], schema).drop("change")
+        return self.spark.read.option("basePath", root).schema(schema).parquet(*paths).drop("change")
+
+    def _on_disk(self, at: str) -> set[str]:
+        """The partitions that a folder has, as parts of a path."""
+        if not self._fs.exists(self._fs_path(at)):
+            return set()
+        below = lambda path: [x.getPath() for x in self._fs.listStatus(path) if x.getPath().getName().startswith(("db_id=", "level="))]
+        return {f"{d.getName()}/{x.getName()}" for d in below(self._fs_path(at)) for x in below(d)}
+
+    def read(self, version: int | None = None, only: set[str] | None = None) -> DataFrame:
+        """(db_id, level, sst_id, pos, entry) of a version, the last one by default; of the partitions ``only``, when given."""
+        return self._table("rows", _ROWS, version, only).select(*self.SPEC, "sst_id", "pos", *ENTRY)
+
+    def files(self, version: int | None = None) -> DataFrame:
+        """(db_id, level, file_id, entries, bytes, smallest_key) of the files of a version."""
+        return self._table("files", _FILES, version, None).select(*self.SPEC, "file_id", "entries", "bytes", "smallest_key")
+
+    def commit(self, rows: DataFrame, base: int, files: DataFrame | None = None, touched: set[str] = frozenset()) -> int:
+        """Replace the partitions in ``rows`` by ``rows``, which were computed from version ``base``; the new version's number.
+
+        ``files`` lists the files, with empty ones, when they are known. Partitions ``touched`` that aren't in ``rows`` or
+        ``files`` are gone. Another writer's version in between is no conflict when it is about other partitions.
+        """
+        at = uuid.uuid4().hex
+        rows = rows.where("db_id IS NOT NULL").select(*self.SPEC, "sst_id", "pos", *ENTRY)
+        # a partition's rows are in one task, or in several of the advisory size when it is large: few files, none of them huge
+        gathered = rows.hint("rebalance", *self.SPEC).sortWithinPartitions(*self.SPEC, "sst_id", "pos")
+        self._write(gathered, "rows", at)
+        if files is None:
+            there = self._written(at)
+            files = there.groupBy(*self.SPEC, F.col("sst_id").alias("file_id")).agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"), F.min("key").alias("smallest_key"))
+            files = files.withColumn("bytes", file_bytes(F.col("body"), F.col("entries")))
+        self._write(files.select(*self.SPEC, "file_id", "entries", "bytes", "smallest_key").coalesce(1), "files", at)
+        have = self._on_disk(f"{self.path}/rows/change={at}") | self._on_disk(f"{self.path}/files/change={at}")
+        changed = {p: at for p in have} | {p: None for p in touched - have}
+        while True:
+            last = self.version()
+            if (clash := self.changed_since(base) & set(changed)):
+                raise ConflictError(f"changed since version {base}: {sorted(clash)[:5]}")
+            content: dict = {"changed": changed}
+            if (last + 1) % _WHOLE == 0:
+                content["all"] = self._partitions(last) | changed
+            try:
+                self._commits.create(last + 1, content)
+                return last + 1
+            except Taken:
+                continue  # another writer was faster: is it about the same partitions?
+
+    def _write(self, rows: DataFrame, kind: str, at: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.SPEC).parquet(f"{self.path}/{kind}/change={at}")
+
+    def _written(self, at: str) -> DataFrame:
+        return self.spark.read.schema(f"{_ROWS}, db_id long, level int").parquet(f"{self.path}/rows/change={at}")
+
+    def reserve(self, count: int) -> int:
+        """The first of ``count`` file numbers that no other writer gets."""
+        while True:
+            last = self._numbers.last()
+            first = self._numbers.read(last)["next"] if last else 1 + (self.files().agg(F.max("file_id")).first()[0] or 0)
+            try:
+                self._numbers.create(last + 1, {"next": first + count})
+                return first
+            except Taken:
+                continue
+
+    def expire(self, keep: int = 2, grace_seconds: float = 24 * 3600) -> list[str]:
+        """Delete the folders that none of the last ``keep`` versions names and that are older than the grace period.
+
+        The grace period must be longer than any change takes to write, as a folder is named only in the end.
+        """
+        last = self.version()
+        named = {at for n in range(max(1, last - keep + 1), last + 1) for at in self._partitions(n).values()}
+        gone = []
+        for kind in ("rows", "files"):
+            root = self._fs_path(f"{self.path}/{kind}")
+            for x in self._fs.listStatus(root) if self._fs.exists(root) else ():
+                at = x.getPath().getName().removeprefix("change=")
+                if at not in named and x.getModificationTime() <= (time.time() - grace_seconds) * 1000:
+                    self._fs.delete(x.getPath(), True)
+                    gone.append(at)
+        return sorted(set(gone))
+
+
+def load(store: SnapshotStore, sst: DataFrame, manifest: DataFrame) -> int:
+    """Put the current files of a listing into an empty store, each entry once, in the level of its file's listing."""
+    current = materialize(current_files(manifest), "current")
+    count = current.count()
+    level = if_small(current.select(F.col("db_id").alias("_db"), F.col("file_id").alias("_file"), F.col("level").alias("_level")), count)
+    own = sst.select("db_id", "sst_id", "pos", *ENTRY).join(level, (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file")))
+    rows = materialize(own.select("db_id", F.col("_level").alias("level"), "sst_id", "pos", *ENTRY).distinct(), "entries")
+    sizes = rows.groupBy("db_id", F.col("sst_id").alias("file_id")).agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"))
+    sizes = sizes.withColumn("bytes", file_bytes(F.col("body"), F.col("entries")))
+    return store.commit(rows, 0, files=listed_sizes(current, sizes))
+
+
+def compact(store: SnapshotStore, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> tuple[DataFrame, int]:
+    """Rewrite the partitions of ``store`` that have too many small files; (the files replaced, the new version).
+
+    What is rewritten is read from the store itself, at the version that the change is then checked against. The other files
+    of a rewritten partition are kept as they are. New files have numbers that no other file of the store has. With nothing to
+    do the version stays.
     """
     base = store.version()
-    small = find_small_files(manifest, sst, small_bytes, min_files).where("level IS NOT NULL")
-    plan = materialize(plan_merges(small, target_bytes), "plan")
-    listed = latest_listing(manifest)
-    touched = plan.select("db_id", "level").distinct()
-    top = listed.groupBy("db_id").agg(F.max("file_id").alias("top"))
-    number = W.partitionBy("db_id").orderBy("level", "lane", "bin")
-    names = plan.select("db_id", "level", "lane", "bin").distinct().join(top, "db_id")
-    names = names.select("db_id", "level", "lane", "bin", (F.col("top") + F.row_number().over(number)).alias("sst_id"))
-    new = rewrite(sst, plan).join(names, ["db_id", "level", "lane", "bin"]).select("db_id", "level", "sst_id", "pos", *ENTRY)
-    kept_files = (
-        listed.where("removed_at IS NULL").join(touched, ["db_id", "level"], "left_semi")
-        .join(plan, ["db_id", "file_id"], "left_anti").select("db_id", F.col("file_id").alias("sst_id"), "level")
-    )
-    kept = sst.select("db_id", "sst_id", "pos", *ENTRY).distinct().join(kept_files, ["db_id", "sst_id"])
-    store.commit(kept.select(new.columns).unionByName(new), base)
-    return plan, store.read()
+    plan = materialize(plan_merges(small_of(store.files(base), small_bytes, min_files), target_bytes), "plan")
+    replaced = plan.select("db_id", "level", "file_id", "bytes")
+    bins = plan.select("db_id", "level", "lane", "bin").distinct()
+    count = bins.count()
+    if not count:
+        return replaced, base
+    first = store.reserve(count)
+    names = materialize(numbered(bins, ["db_id", "level", "lane", "bin"], "no").withColumn("new_id", F.col("no") + first - 1), "names")
+    same = (F.col("p.db_id") == F.col("n.db_id")) & F.col("p.level").eqNullSafe(F.col("n.level")) & (F.col("p.lane") == F.col("n.lane")) & (F.col("p.bin") == F.col("n.bin"))
+    moves = plan.alias("p").join(if_small(names, count).alias("n"), same).select(F.col("p.db_id").alias("_db"), F.col("p.file_id").alias("_file"), "new_id")
+    moves = if_small(materialize(moves, "moves"), plan.count())
+    touched = {f"db_id={r.db_id}/level={'__HIVE_DEFAULT_PARTITION__' if r.level is None else r.level}" for r in plan.select("db_id", "level").distinct().collect()}
+    old = store.read(base, touched)
+    mine = (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file"))
+    kept = old.join(moves, mine, "left_anti")
+    # a new file has the target's bytes and one small file more at most
+    order = W.partitionBy("db_id", "level", "new_id").orderBy("key", F.desc("seq"), "sst_id", "pos", *ENTRY[1:])
+    new = old.join(moves, mine).withColumn("_pos", (F.row_number().over(order) - 1).cast("long"))
+    new = new.select("db_id", "level", F.col("new_id").alias("sst_id"), F.col("_pos").alias("pos"), *ENTRY)
+    return replaced, store.commit(kept.select(new.columns).unionByName(new), base, touched=touched)

@@ -49,36 +49,96 @@ def test_merging_keeps_every_entry_once(spark):
         assert sorted(group.pos) == list(range(len(group)))
 
 
-def test_store_rewrites_only_the_partitions_concerned(spark):
+def _loaded(spark, path="store"):
     sst, manifest = _store(spark)
-    store = small_files.SnapshotStore(spark, scratch(spark, "store"))
-    entries = sst.where("db_id = 1 AND key IS NOT NULL").select("db_id", "level", "sst_id", "pos", *small_files.ENTRY).distinct()
-    store.commit(entries, 0)
-    before = rows(store.read().where("level IS NULL OR level != 0").select("level", "sst_id", "pos", "key"))
-    plan, after = small_files.compact(store, sst.where("key IS NOT NULL"), manifest)
-    assert store.version() == 2 and store.changed_since(1) == {"1/0"}
-    assert rows(after.where("level IS NULL OR level != 0").select("level", "sst_id", "pos", "key")) == before
-    old = entries.where("level = 0").select(*small_files.ENTRY)
-    assert rows(after.where("level = 0").select(*small_files.ENTRY)) == rows(old)
-    assert after.where("level = 0").select("sst_id").distinct().count() == 2
-
-
-def test_store_conflicts_and_recovery(spark):
-    store = small_files.SnapshotStore(spark, scratch(spark, "store"))
-    row = lambda k, level=0: spark.createDataFrame([(1, level, 1, 0, k, 1, 1, 1, 1, 1)], "db_id long, level int, sst_id long, pos long, key string, vtype int, seq long, file_id long, offset long, value_size long")
-    store.commit(row("a"), 0)
-    store.commit(row("b", 3), 0)  # another partition: no conflict
+    store = small_files.SnapshotStore(spark, scratch(spark, path))
+    small_files.load(store, sst.where("key IS NOT NULL"), manifest)
+    return store
+
+
+ROW = "db_id long, level int, sst_id long, pos long, key string, vtype int, seq long, file_id long, offset long, value_size long"
+
+
+def _row(spark, key, level=0, sst_id=1, db=1):
+    return spark.createDataFrame([(db, level, sst_id, 0, key, 1, 1, 1, 1, 1)], ROW)
+
+
+def test_store_rewrites_only_the_partitions_concerned(spark):
+    store = _loaded(spark)
+    entries = store.read()
+    assert entries.count() == 3 + 2 + 300 + 2 + 1 + 2  # file 6 is removed
+    assert {(r.file_id, r.entries) for r in store.files().where("level = 0").collect()} == {(1, 3), (2, 2), (3, 300), (9, 0)}
+    others = lambda v: rows(store.read(v).where("level > 0").select("level", "sst_id", "pos", "key"))
+    replaced, version = small_files.compact(store)
+    assert version == store.version() == 2 and others(2) == others(1)
+    assert store.changed_since(1) == {"db_id=1/level=0", "db_id=1/level=__HIVE_DEFAULT_PARTITION__"}
+    assert {(r.level, r.file_id) for r in replaced.collect()} == {(0, 1), (0, 2), (0, 9), (None, 7), (None, 8)}
+    after = store.read()
+    assert rows(after.select("level", *small_files.ENTRY)) == rows(entries.select("level", *small_files.ENTRY))
+    files = {(r.level, r.file_id): r.entries for r in store.files().collect()}
+    assert files == {(0, 3): 300, (0, 10): 5, (1, 4): 2, (2, 5): 1, (None, 11): 2} or files == {(0, 3): 300, (0, 11): 5, (1, 4): 2, (2, 5): 1, (None, 10): 2}
+    # readers of the earlier version have it as it was, and types don't depend on the data
+    assert store.read(1).count() == entries.count() and dict(store.read().dtypes)["db_id"] == "bigint"
+    assert small_files.compact(store)[1] == 2  # nothing to do
+
+
+def test_rows_that_only_the_store_has_survive(spark):
+    store = _loaded(spark)
+    store.commit(store.read(only={"db_id=1/level=0"}).unionByName(_row(spark, "only here", 0, 2)), store.version())
+    small_files.compact(store)
+    assert store.read().where("key = 'only here'").count() == 1
+
+
+def test_interleaved_writers(spark):
+    store = _loaded(spark)
+    other, base = small_files.SnapshotStore(spark, store.path), store.version()
+    real = store._commits.create
+
+    def late(number, content):  # the other writer commits while this one is between its last look and its claim
+        store._commits.create = real
+        other.commit(_row(spark, "b", 3), base)
+        return real(number, content)
+
+    store._commits.create = late
+    assert store.commit(_row(spark, "c", 5), base) == base + 2
+    assert {"b", "c"} <= {r.key for r in store.read().collect()}
+
+    def clash(number, content):
+        store._commits.create = real
+        other.commit(_row(spark, "d", 5), base + 2)
+        return real(number, content)
+
+    store._commits.create = clash
     with pytest.raises(small_files.ConflictError):
-        store.commit(row("c"), 0)
-    assert {r.key for r in store.read().collect()} == {"a", "b"}
-    apply = store._apply
-    store._apply = lambda *a: (_ for _ in ()).throw(OSError("lost"))
-    with pytest.raises(OSError):
-        store.commit(row("d"), store.version())
-    store._apply = apply
-    again = small_files.SnapshotStore(spark, store.path)
-    assert again.recover() == [3] and again.recover() == []
-    assert {r.key for r in again.read().collect()} == {"b", "d"}
+        store.commit(_row(spark, "e", 5), base + 2)
+    assert {r.key for r in store.read().where("level = 5").collect()} == {"d"}
+    assert store.reserve(3) + 3 == other.reserve(1)
+
+
+def test_many_versions_and_expired_folders(spark):
+    store = small_files.SnapshotStore(spark, scratch(spark, "store"))
+    for i in range(18):
+        store.commit(_row(spark, f"k{i}", i % 2), store.version())
+    assert {r.key for r in store.read().collect()} == {"k16", "k17"} and {r.key for r in store.read(3).collect()} == {"k1", "k2"}
+    assert store.expire(keep=1) == []  # all are young
+    assert len(store.expire(keep=1, grace_seconds=-5)) == 16
+    assert {r.key for r in store.read().collect()} == {"k16", "k17"}
+    store.commit(_row(spark, "x", 0).limit(0), store.version(), touched={"db_id=1/level=0"})
+    assert {r.key for r in store.read().collect()} == {"k17"}
+
+
+def test_a_commit_appears_whole_or_not_at_all(spark):
+    from ledgerfen.sources.commits import Commits, Taken
+
+    commits = Commits(spark, scratch(spark, "commits"))
+    commits.create(1, {"a": 1})
+    with pytest.raises(Taken):
+        commits.create(1, {"a": 2})
+    folder = commits.path.removeprefix("file://")
+    assert commits.read(1) == {"a": 1} and [x for x in os.listdir(folder) if not x.endswith(".crc")] == ["000000000001"]
+    # the way of file systems other than the operating system's
+    assert commits._rename(f"{commits.path}/.x", commits._file(2), "{}") and not commits._rename(f"{commits.path}/.y", commits._file(2), "[]")
+    assert commits.read(2) == {} and commits.last() == 2
 
 
 def test_small_files_of_empty_tables(spark):
@@ -94,8 +154,8 @@ def test_intervals(spark):
     schema = "feed string, db_id long, version int, block long, seq long"
     numbers = spark.createDataFrame([("f", 1, 0, 0, s) for s in (5, 1, 2, 2, 3, 7)] + [("f", None, 0, 0, 9)], schema)
     assert rows(increments.to_intervals(numbers).select("db_id", "lo", "hi")) == [(1, 1, 3), (1, 5, 5), (1, 7, 7), (None, 9, 9)]
-    spans = spark.createDataFrame([("f", 1, 0, 0, lo, hi) for lo, hi in ((1, 9), (2, 3), (10, 12), (14, 14), (14, 15), (1, 9))], "feed string, db_id long, version int, block long, lo long, hi long")
-    assert rows(increments.merge_intervals(spans).select("lo", "hi")) == [(1, 12), (14, 15)]
+    held = increments.with_contents(numbers.where("db_id = 1").distinct().withColumn("content", F.col("seq") * 10))
+    assert rows(held.select("lo", "hi", "contents")) == [(1, 3, [10, 20, 30]), (5, 5, [50]), (7, 7, [70])]
 
 
 def _contents(spark, data):
@@ -140,6 +200,28 @@ def test_ledger_hands_over_each_content_once_and_survives_failures(spark):
     assert rows(ledger.intervals().select("version", "lo", "hi")) == [(0, 1, 2), (0, 4, 4), (0, 9000, 9000), (1, 2, 2)]
 
 
+def test_a_late_content_is_handed_over_as_itself(spark):
+    ledger = increments.IntervalLedger(spark, scratch(spark, "ledger"))
+    assert rows(ledger.run(_contents(spark, [(1, "first", 5)])).select("key", "version")) == [("first", 0)]
+    both = [(1, "first", 5), (1, "late", 2)]  # it appeared earlier, but comes in only now
+    assert rows(ledger.run(_contents(spark, both)).select("key", "version")) == [("late", 1)]
+    assert rows(ledger.run(_contents(spark, [*both, (1, "late", 1), (1, "third", 0)])).select("key", "version")) == [("third", 2)]
+
+
+def test_only_blocks_that_changed_are_written(spark):
+    ledger = increments.IntervalLedger(spark, scratch(spark, "ledger"))
+    data = [(s, "x", 1) for s in range(1, 9000, 100)]
+    ledger.run(_contents(spark, data))
+    ledger.run(_contents(spark, [*data, (5000, "y", 2)]))
+    last = spark.read.parquet(f"{ledger.path}/{ledger._named()[-1]}/intervals")
+    assert {r.block for r in last.collect()} == {1}
+    assert ledger.intervals().selectExpr("sum(hi - lo + 1)").first()[0] == len(data) + 1
+    for i in range(increments.MERGE_RUNS):
+        ledger.run(_contents(spark, [*data, (5000, "y", 2), (1, f"z{i}", 2)]))
+    assert len(ledger._named()) < 5
+    assert ledger.run(_contents(spark, [*data, (5000, "y", 2), (1, "z0", 2)])).count() == 0
+
+
 def test_ledger_against_brute_force(spark):
     rng = random.Random(3)
     history = [(rng.randrange(1, 60), rng.choice("ab"), t) for t in range(60)]
@@ -196,12 +278,36 @@ def test_orphans_as_of_the_reference(spark):
          put(1, 1, 6, 6, "a", (2, 0, 2), 20), put(1, 1, 7, 7, "a", (None, 0, 2), 20), put(1, 1, 8, 8, "a", (3, 0, 0), 20), put(1, 1, 8, 8, "a", (3, 0, 0), 20), delete(1, 1, 9, 9, "a", 9), put(1, 1, 10, 10, "a", (9, 9, 9), None)],
         WAL,
     )
-    targets = orphans.target_deltas(vlog, segments)
-    found = orphans.orphans_as_of(orphans.wal_references(wal), targets)
+    stream = lambda w, v, g: orphans.deltas(orphans.wal_references(w), orphans.existence_deltas(v, g))
+    found = orphans.orphans_as_of(stream(wal, vlog, segments))
     assert sorted({r.row_no for r in found.collect()}) == [1, 3, 6, 7, 8]
-    assert orphans.orphans_as_of(orphans.wal_references(frame(spark, [], WAL)), targets).count() == 0
-    nothing = orphans.target_deltas(frame(spark, [], VLOG), frame(spark, [], SEGMENTS))
-    assert len({r.row_no for r in orphans.orphans_as_of(orphans.wal_references(wal), nothing).collect()}) == 8
+    assert orphans.orphans_as_of(stream(frame(spark, [], WAL), vlog, segments)).count() == 0
+    nothing = frame(spark, [], VLOG), frame(spark, [], SEGMENTS)
+    assert len({r.row_no for r in orphans.orphans_as_of(stream(wal, *nothing)).collect()}) == 8
+
+
+def test_orphans_in_runs_against_brute_force(spark):
+    rng = random.Random(9)
+    wal = [put(1, 1, i, i, "a", (rng.randrange(1, 4), 0, 1) if rng.random() < 0.7 else (1, 0, 1), rng.randrange(60)) for i in range(300)]
+    vlog = [(1, rng.randrange(1, 4), 0, 0, 1, 1, "k", "x", at(rng.randrange(60))) for _ in range(5)]
+    segments = [(1, f, 1, 1, at(0), at(t)) for f, t in ((1, 45), (2, 30))]
+    gone = {1: 45, 2: 30}
+    born = [(f, t) for _, f, _, _, _, _, _, _, t in vlog]
+    expected = {r[2] for r in wal if not any(f == r[8] and t <= r[11] and (f not in gone or at(gone[f]) > r[11]) for f, t in born)}
+    stream = orphans.deltas(orphans.wal_references(frame(spark, wal, WAL)), orphans.existence_deltas(frame(spark, vlog, VLOG), frame(spark, segments, SEGMENTS))).cache()
+    assert {r.row_no for r in orphans.orphans_as_of(stream).collect()} == expected
+    ledger, found = orphans.CountLedger(spark, scratch(spark, "counts")), set()
+    for lo, hi in ((None, 10), (10, 20), (20, 40), (40, 99)):
+        part = stream.where(F.col("at") <= F.lit(at(hi)))
+        part = part if lo is None else part.where(F.col("at") > F.lit(at(lo)))
+        if hi == 20:
+            with pytest.raises(RuntimeError):
+                ledger.run(part, fail_before_commit=True)
+        found |= {r.row_no for r in ledger.run(part).collect()}
+    assert found == expected
+    now = {r.file_id: r.refs for r in orphans.orphans(ledger.counts()).collect()}
+    everyone = {f: sum(r[8] == f for r in wal) for f in (1, 2, 3)}
+    assert now == {f: n for f, n in everyone.items() if f in gone or not any(b == f for b, _ in born)}
 
 
 def test_counts_are_kept_from_run_to_run(spark):
