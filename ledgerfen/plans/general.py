@@ -1,11 +1,11 @@
-"""Queries p1 to p5 over the test tables, with their SQL."""
+"""Queries p1 to p4 over the test tables, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, increments, orphans, seen_keys, small_files
+from ..operators import changes, increments, orphans, small_files
 from ..session import load, materialize, scratch
 
 
@@ -125,19 +125,9 @@ def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans(counts).select(*orphans.KEY, "refs")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen_keys.seen_before(load(spark, sf_dir, "wal"))[0]
-
-
-def p5_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, answers "seen" and wrong answers of each database."""
-    wal = load(spark, sf_dir, "wal")
-    return seen_keys.error_rate(wal, seen_keys.seen_before(wal)[0])
-
-
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_entries, p1_compact, p1_levels, p2_found, p2_replayed, p3_found, p3_state, p3_partial, p4_found, p4_by_day, p4_runs, p4_current, p5_found, p5_error)
+    for f in (p1_found, p1_entries, p1_compact, p1_levels, p2_found, p2_replayed, p3_found, p3_state, p3_partial, p4_found, p4_by_day, p4_runs, p4_current)
 }
 
 _READABLE = "key IS NOT NULL AND seq IS NOT NULL AND len = octet_length(encode(key)) + CASE vtype WHEN 1 THEN 29 WHEN 2 THEN 13 END"
@@ -185,8 +175,6 @@ run AS (SELECT * FROM run_log QUALIFY row_number() OVER (PARTITION BY run_id ORD
 reads AS (SELECT feed, max(read_at) AS t FROM run WHERE lower(trim(status)) = 'succeeded' AND finished_at IS NOT NULL GROUP BY feed),
 pending AS (SELECT b.* FROM born b LEFT JOIN reads r ON b.feed = r.feed WHERE r.t IS NULL OR b.seen_at > r.t)
 """
-_LOG = f"log AS (SELECT DISTINCT db_id, wal_id, rec_no, key FROM wal WHERE {_READABLE})"
-_SEEN = f"{_LOG}, ranked AS (SELECT *, row_number() OVER (PARTITION BY db_id, key ORDER BY wal_id, rec_no) AS n FROM log)"
 
 ORACLE = {
     "p1_found": f"WITH {_SMALL} SELECT db_id, file_id FROM tiny WHERE n >= 2",
@@ -220,7 +208,4 @@ ORACLE = {
     "p4_current": f"""WITH {_REFS} SELECT r.db_id, r.file_id, r."offset", r.value_size, count(*) AS refs FROM refs r
         WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.db_id = r.db_id AND t.file_id = r.file_id AND t."offset" = r."offset" AND t.value_size = r.value_size AND t.gone IS NULL)
         GROUP BY ALL""",
-    "p5_found": f"WITH {_SEEN} SELECT db_id, wal_id, rec_no FROM ranked WHERE n > 1",
-    "p5_error": f"""WITH {_SEEN} SELECT db_id, count(*) AS records, count(*) FILTER (WHERE n > 1) AS seen, CAST(0 AS BIGINT) AS wrong, CAST(0 AS DOUBLE) AS rate
-        FROM ranked GROUP BY db_id""",
 }

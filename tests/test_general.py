@@ -4,7 +4,7 @@ import os
 import random
 
 import pytest
-from ledgerfen.operators import changes, increments, orphans, seen_keys, small_files
+from ledgerfen.operators import changes, increments, orphans, small_files
 from ledgerfen.session import scratch
 from pyspark.sql import functions as F
 
@@ -321,55 +321,6 @@ def test_counts_are_kept_from_run_to_run(spark):
     assert "c" not in {r.k for r in later.collect()}
 
 
-# seen keys
-
-
-def test_seen_keys_against_brute_force(spark):
-    rng = random.Random(5)
-    data, log = [], set()
-    for db in (1, 2):
-        for i in range(400):
-            key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(150)}"
-            data.append(put(db, rng.randrange(1, 9), i, i, key, torn=rng.random() < 0.1))
-    data += data[:50] + [put(1, None, 1, 1, "x"), put(None, 1, 1, 1, "x"), put(1, 1, 9999, 1, ""), put(1, 2, 9999, 1, "")]
-    for r in data:
-        if r[0] and r[1] and r[4] == len(r[7].encode()) + 29:
-            log.add((r[0], r[1], r[2], r[7]))
-    first = {}
-    for db, wal, rec, key in sorted(log):
-        first.setdefault((db, key), (wal, rec))
-    expected = {(db, wal, rec) for db, wal, rec, key in log if first[db, key] != (wal, rec)}
-    wal = frame(spark, data, WAL)
-    for batches in (1, 4):
-        seen, ledger = seen_keys.seen_before(wal, batches)
-        assert {tuple(r) for r in seen.collect()} == expected
-        ledger.drop()
-    seen, ledger = seen_keys.seen_before(wal, 2)
-    report = seen_keys.error_rate(wal, seen).collect()
-    assert all(r.wrong == 0 and r.rate == 0 for r in report) and sum(r.seen for r in report) == len(expected)
-    ledger.drop()
-
-
-def test_wrong_answers_are_counted(spark):
-    wal = frame(spark, [put(1, 1, 1, 1, "a"), put(1, 1, 2, 2, "a"), put(1, 1, 3, 3, "b")], WAL)
-    answers = spark.createDataFrame([(1, 1, 3)], "db_id long, wal_id long, rec_no long")
-    assert [(r.records, r.seen, r.wrong) for r in seen_keys.error_rate(wal, answers).collect()] == [(3, 1, 2)]
-
-
-def test_seen_keys_of_an_empty_log(spark):
-    seen, ledger = seen_keys.seen_before(frame(spark, [], WAL), 3)
-    assert seen.count() == 0
-    ledger.drop()
-
-
-def test_ledger_reads_its_buckets_without_shuffling_them(spark):
-    wal = frame(spark, [put(1, w, r, r, f"k{r}") for w in (1, 2) for r in range(20)], WAL)
-    _, ledger = seen_keys.seen_before(wal, 2)
-    plan = spark.table(ledger.name).groupBy("db_id", "key").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
-    ledger.drop()
-
-
 # session
 
 
