@@ -39,7 +39,7 @@ _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lan
 #: The machines: the family's first, then each two languages of a family.
 PAIRS = [tuple(p) for langs in FAMILIES.values() for p in combinations(langs, 2)]
 
-#: The bound of the sample that is fitted on: rows of each label, and characters of a row's text.
+#: The bound of the sample that is fitted on: rows of each label, and characters of a row's text, of which longer ones give a piece.
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 20_000
 BUCKETS = 1 << 16
 #: Words of the pieces of lines that are fitted on.
@@ -192,21 +192,38 @@ def sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CH
     """(line, language) of at most ``rows`` rows of each language, after their labels.
 
     The labels are counted first, on their column alone. Then one scan keeps the rows whose hash is under a limit that
-    leaves about four times ``rows`` of each language, wherever they stand, and the least hashes of these are taken. Texts longer
-    than ``chars`` aren't fitted on, though they are labelled like any other.
+    leaves about four times ``rows`` of each language, wherever they stand, and the least hashes of these are taken. Of a text
+    longer than ``chars`` a piece of that length is fitted on, from a place that its hash tells; it is labelled whole like any
+    other. Languages that so come to fewer rows than they have, as most of their texts are null or under 40 characters, are
+    looked for once more without the limit.
     """
     code = named_language().alias("code")
     counts = documents.select(code).groupBy("code").count().where("code IS NOT NULL").collect()
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.code, min(1.0, 4 * rows / r["count"]))))
-    usable = documents.where("text IS NOT NULL").where(F.length("text").between(40, chars)).select("text", code, F.xxhash64("doc_id", "text").alias("h"))
-    few = usable.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("code")] * (1 << 30))
-    order = W.partitionBy("code").orderBy("h", "text")
-    top = few.withColumn("no", F.row_number().over(order)).where(F.col("no") <= rows).orderBy("code", "no").collect()
+    share = {r.code: min(1.0, 4 * rows / r["count"]) for r in counts}
+    top = _sampled(documents, share, rows, chars)
+    have = Counter(r.code for r in top)
+    few = {c: 1.0 for c, part in share.items() if part < 1 and have[c] < rows}
+    if few:
+        top = [r for r in top if r.code not in few] + _sampled(documents, few, rows, chars)
+    top.sort(key=lambda r: (r.code, r.no))
     return [(line, r.code) for r in top for line in r.text.split("\n") if len(line_words(line)) >= 3]
 
 
+def _sampled(documents: DataFrame, share: dict[str, float], rows: int, chars: int) -> list:
+    """(text, code, no): the ``rows`` least hashes of each language among its ``share`` of the rows."""
+    code = named_language().alias("code")
+    limit = F.create_map(*(F.lit(x) for c, part in share.items() for x in (c, part)))
+    usable = documents.where("text IS NOT NULL").where(F.length("text") >= 40).select("text", code, F.xxhash64("doc_id", "text").alias("h"))
+    few = usable.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("code")] * (1 << 30))
+    spare = F.greatest(F.length("text") - chars, F.lit(0))
+    piece = F.when(spare > 0, F.substring("text", (1 + F.pmod("h", spare + 1)).cast("int"), F.lit(chars))).otherwise(F.col("text"))
+    order = W.partitionBy("code").orderBy("h", "text")
+    few = few.select(piece.alias("text"), "code", "h")
+    return few.withColumn("no", F.row_number().over(order)).where(F.col("no") <= rows).select("text", "code", "no").collect()
+
+
 def languages(documents: DataFrame, model: Discriminator | None = None, min_words: int = 8) -> DataFrame:
     """(doc_id, lang, seg_no, words, seg_lang, confidence, main): seg_no 0 for each document and n for its n-th line.
 

@@ -1,19 +1,22 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
 Texts become lists of words (``words``); the items' vocabulary gives each word a number, and other words have none. Seeds are
-runs of ``min_match`` words, compared by Karp-Rabin hashes of the whole batch at once and then word by word. For each document
-and item that share a seed, the longest match of unmarked words is marked again and again, until none of ``min_match`` words is
-left (``tile``): so passages are found in whatever order they stand. The tiles' words, held against the item's, are the coverage.
+runs of ``min_match`` words, compared by Karp-Rabin hashes of the whole batch at once. For each document and item that share
+enough seeds, the longest match of unmarked words is marked again and again, until none of ``min_match`` words is left
+(``tile``): so passages are found in whatever order they stand. The tiles' words, held against the item's, are the coverage;
+the item's words in any common seed bound it, so that most pairs are left out before they are tiled.
 
-The items are the smaller side. They are taken in blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast and held
-against all documents in one narrow pass; a second block is a second pass. No document is shuffled and no pair is made
-without a shared seed.
+The items are the smaller side. They are taken in blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast, indexed
+once a worker and held against all documents in one narrow pass; with several blocks the documents' words are written down
+first. No document is shuffled and no pair is made without a shared seed.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch
 from .spread import slices, spread
 
 #: Words of the items in a block: a broadcast of about 100 MB at the most.
@@ -63,52 +67,43 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, i
     """The tiles (doc start, item start, length) of two lists of word numbers, longest first.
 
     Negative numbers match nothing. Among the longest matches the first in the document, then in the item, is taken. Tiles
-    overlap neither in the document nor in the item.
+    overlap neither in the document nor in the item. Only maximal matches are looked at, each once, so long runs of the same
+    words cost as many steps as they have words, not as many as there are pairs of them.
     """
-    starts: dict[int, list[int]] = defaultdict(list)
-    n, m = len(doc) - min_match + 1, len(item) - min_match + 1
-    if n <= 0 or m <= 0:
+    if min(len(doc), len(item)) < min_match:
         return []
-    for j, h in enumerate(_hashes(item, min_match)[0].tolist()):
-        starts[h].append(j)
-    hashes, whole = _hashes(doc, min_match)
-    d, e = doc.tolist(), item.tolist()
-    # maximal matches, each found at its first seed: diagonal by diagonal, a seed inside the last match is skipped
-    reach: dict[int, int] = {}
-    found = []
-    for i, (h, ok) in enumerate(zip(hashes.tolist(), whole.tolist())):
-        for j in starts.get(h, ()) if ok else ():
-            if reach.get(i - j, -1) > i or d[i : i + min_match] != e[j : j + min_match]:
+    # words that match nothing are all different
+    d = np.where(doc < 0, -2 - np.arange(len(doc)), doc)
+    e = np.where(item < 0, -2 - len(doc) - np.arange(len(item)), item)
+    starts = _match_starts(d, e, min_match)
+    lengths = _common_lengths(d, e, *starts)
+    queue = [(-k, i, j) for i, j, k in zip(starts[0].tolist(), starts[1].tolist(), lengths.tolist()) if k >= min_match]
+    heapq.heapify(queue)
+    tiles, doc_left, item_left = [], len(d), len(e)
+    doc_marked, item_marked = bytearray(len(d)), bytearray(len(e))
+    while queue and min(doc_left, item_left) >= min_match:
+        k, i, j = heapq.heappop(queue)
+        k = -k
+        if doc_marked.find(1, i, i + k) < 0 and item_marked.find(1, j, j + k) < 0:
+            if not np.array_equal(d[i : i + k], e[j : j + k]):  # hashes that met by chance
+                k = int(np.argmax(d[i : i + k] != e[j : j + k]))
+                if k >= min_match:
+                    heapq.heappush(queue, (-k, i, j))
                 continue
-            k = min_match
-            while i + k < len(d) and j + k < len(e) and d[i + k] == e[j + k] and d[i + k] >= 0:
-                k += 1
-            reach[i - j] = i + k - min_match + 1
-            found.append((i, j, k))
-    tiles, doc_marked, item_marked = [], bytearray(len(d)), bytearray(len(e))
-    queue = {k: sorted(x for x in found if x[2] == k) for k in {x[2] for x in found}}
-    while queue:
-        k = max(queue)
-        for i, j, _ in queue.pop(k):
-            free = [x for x in range(k) if not doc_marked[i + x] and not item_marked[j + x]]
-            if len(free) == k:
-                tiles.append((i, j, k))
-                doc_marked[i : i + k] = item_marked[j : j + k] = b"\1" * k
-                continue
-            # what earlier tiles have left of the match comes up again with its own length
-            run = 0
-            for x in range(k + 1):
-                if x < k and not doc_marked[i + x] and not item_marked[j + x]:
-                    run += 1
-                    continue
-                if run >= min_match:
-                    queue.setdefault(run, []).append((i + x - run, j + x - run, run))
-                    queue[run].sort()
-                run = 0
+            tiles.append((i, j, k))
+            doc_marked[i : i + k] = item_marked[j : j + k] = b"\1" * k
+            doc_left, item_left = doc_left - k, item_left - k
+            continue
+        # what earlier tiles have left of the match comes up again with its own length
+        marked = np.frombuffer(doc_marked, np.uint8)[i : i + k] | np.frombuffer(item_marked, np.uint8)[j : j + k]
+        edges = np.flatnonzero(np.diff(np.concatenate([[1], marked, [1]])))
+        for a, b in edges.reshape(-1, 2).tolist():
+            if b - a >= min_match:
+                heapq.heappush(queue, (a - b, i + a, j + a))
     return tiles
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,55 +113,133 @@ def _hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     x, total = (ids + 1).astype(np.uint64), np.zeros(n, np.uint64)
     for i in range(k):
-        total = total * _BASE + x[i : i + n]
+        total = total * np.uint64(_BASE) + x[i : i + n]
     bad = np.concatenate([[0], np.cumsum(ids < 0)])
     return total, bad[k:] == bad[:-k]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges [lo, hi), and the number of the range of each."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), of
+
+
+def _match_starts(d: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``d``, in ``e``) where runs of ``k`` words have equal hashes and the words before differ, in order."""
+    hd, he = _hashes(d, k)[0], _hashes(e, k)[0]
+    n, m = len(hd), len(he)
+    seeds = np.unique(he)
+    of_e = np.searchsorted(seeds, he)
+    of_d = np.minimum(np.searchsorted(seeds, hd), len(seeds) - 1)
+    at = np.flatnonzero(seeds[of_d] == hd)
+    # the word before, as a number from 0; there is none at the beginnings, which equals no word
+    low = min(d.min(), e.min())
+    before = np.unique(np.concatenate([[low - 1], d[: n - 1], [low - 2], e[: m - 1]]), return_inverse=True)[1]
+    count = int(before.max()) + 1
+    place = of_e * count + before[n:]
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    group, own = of_d[at] * count, of_d[at] * count + before[at]
+    # of the item's places with the same seed those before and after the ones with the same word before
+    edge = lambda x: np.searchsorted(place, x, "left")
+    left, of_left = _ranges(edge(group), edge(own))
+    right, of_right = _ranges(edge(own + 1), edge(group + count))
+    i, j = at[np.concatenate([of_left, of_right])], order[np.concatenate([left, right])]
+    return i, j
+
+
+def _common_lengths(d: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many words are the same from each pair of places on, by hashes of runs of 1, 2, 4 and so on words."""
+    tables, power, size = [], _BASE, 1
+    hd, he = (d + 1).astype(np.uint64), (e + 1).astype(np.uint64)
+    while True:
+        tables.append((size, hd, he))
+        if 2 * size > min(len(d), len(e)):
+            break
+        hd, he = (h[:-size] * np.uint64(power) + h[size:] for h in (hd, he))
+        power, size = power * power % 2**64, 2 * size
+    out = np.zeros(len(i), np.int64)
+    for size, hd, he in reversed(tables):
+        at = np.flatnonzero((i + out < len(hd)) & (j + out < len(he)))
+        same = at[hd[i[at] + out[at]] == he[j[at] + out[at]]]
+        out[same] += size
+    return out
+
+
 class ItemIndex:
-    """The items of a block: vocabulary, word numbers and the sorted hashes of their seeds."""
+    """The items of a block: vocabulary, word numbers and the places of their seeds by the sorted hashes."""
+
+    #: Places of seeds that are looked at together, about; a single document may have more, but none more than the block has.
+    TOGETHER = 4_000_000
 
     def __init__(self, items: list[tuple], min_match: int) -> None:
         self.min_match, self.items = min_match, []
         self.vocabulary: dict[str, int] = {}
-        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for item_id, text_words in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text_words], np.int64)
-            own = np.unique(_hashes(ids, min_match)[0])
+            own = _hashes(ids, min_match)[0]
             hashes.append(own)
             owners.append(np.full(len(own), len(self.items)))
+            places.append(np.arange(len(own)))
             self.items.append((item_id, ids))
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
-        self.hashes, self.owners = every[order], np.concatenate(owners)[order]
+        self.owners, self.places = np.concatenate(owners)[order], np.concatenate(places)[order]
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
 
-    def candidates(self, docs: list[list[str]]) -> list[tuple[int, np.ndarray, set[int]]]:
-        """(number of the document, its word numbers, numbers of the items with a common seed), for documents that have one."""
+    def candidates(self, docs: list[list[str]], min_coverage: float = 0.0) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(number of the document, its word numbers, number of the item) of the pairs with a common seed whose common seeds
+        hold at least ``min_coverage`` of the item's words; no tiling covers more."""
+        if not len(self.seeds):
+            return
         get = self.vocabulary.get
-        ids = [i for d in docs for i in (*[get(w, -1) for w in d], -1)]
-        flat = np.array(ids, np.int64)
+        flat = np.array([i for d in docs for i in (*[get(w, -1) for w in d], -1)], np.int64)
         ends = np.cumsum([len(d) + 1 for d in docs])
         hashes, whole = _hashes(flat, self.min_match)
-        at = np.nonzero(whole)[0]
-        lo = np.searchsorted(self.hashes, hashes[at], "left")
-        hit = lo < len(self.hashes)
-        hit[hit] = self.hashes[lo[hit]] == hashes[at[hit]]
-        at, lo = at[hit], lo[hit]
-        hi = np.searchsorted(self.hashes, hashes[at], "right")
-        shared: dict[int, set[int]] = defaultdict(set)
-        for doc, a, b in zip(np.searchsorted(ends, at, "right").tolist(), lo.tolist(), hi.tolist()):
-            shared[doc].update(self.owners[a:b].tolist())
-        return [(doc, flat[ends[doc] - len(docs[doc]) - 1 : ends[doc] - 1], found) for doc, found in shared.items()]
-
-
-def _reach(doc: np.ndarray, item: np.ndarray, k: int) -> int:
-    """The words of the item in any seed that the document has too: no tiling covers more."""
-    own, whole = _hashes(doc, k)
-    hit = np.isin(_hashes(item, k)[0], own[whole])
-    covered = np.zeros(len(item) + 1, np.int64)
-    np.add.at(covered, np.nonzero(hit)[0], 1)
-    np.add.at(covered, np.nonzero(hit)[0] + k, -1)
-    return int((np.cumsum(covered)[:-1] > 0).sum())
+        at = np.flatnonzero(whole)
+        seed = np.minimum(np.searchsorted(self.seeds, hashes[at]), len(self.seeds) - 1)
+        hit = self.seeds[seed] == hashes[at]
+        doc = np.searchsorted(ends, at[hit], "right")
+        # each seed of a document once
+        pair = np.unique(doc * len(self.seeds) + seed[hit])
+        doc, seed = pair // len(self.seeds), pair % len(self.seeds)
+        size = self.first[seed + 1] - self.first[seed]
+        group = np.cumsum(size) // self.TOGETHER
+        # a document is in one group
+        first_of = np.searchsorted(doc, doc, "left")
+        group = group[first_of] if len(group) else group
+        for g in np.unique(group).tolist():
+            own = group == g
+            for d, item in self._reached(doc[own], seed[own], min_coverage):
+                yield d, flat[ends[d] - len(docs[d]) - 1 : ends[d] - 1], item
+
+    def _reached(self, doc: np.ndarray, seed: np.ndarray, min_coverage: float) -> list[tuple[int, int]]:
+        place, of = _ranges(self.first[seed], self.first[seed + 1])
+        pair, at = doc[of] * len(self.items) + self.owners[place], self.places[place]
+        order = np.lexsort((at, pair))
+        pair, at = pair[order], at[order]
+        begins = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        # a seed covers its words up to the next seed
+        covers = np.minimum(np.append(at[1:] - at[:-1], self.min_match), self.min_match)
+        covers[np.append(begins[1:], len(pair)) - 1] = self.min_match
+        reach, pairs = np.add.reduceat(covers, begins), pair[begins]
+        enough = reach >= min_coverage * self.lengths[pairs % len(self.items)]
+        return list(zip((pairs[enough] // len(self.items)).tolist(), (pairs[enough] % len(self.items)).tolist()))
+
+
+#: Of a worker: the index of the block that it was last given.
+_made: dict = {}
+
+
+def _index(name: str, block: list[tuple], min_match: int) -> ItemIndex:
+    if name not in _made:
+        _made.clear()
+        _made[name] = ItemIndex(block, min_match)
+    return _made[name]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_match: int, min_longest: int = 0, min_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -181,58 +254,74 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_match: int, min_longe
     doc_kind, item_kind = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = f"doc_id {doc_kind}, item_id {item_kind}, tiles int, longest int, covered int, item_words int, coverage double"
     docs = spread(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
-    parts = []
-    for block in _blocks(items, min_match, block_words):
-        shared = spark.sparkContext.broadcast(block)
+    every, count = _item_words(items, min_match, block_words)
+    split = count > 1
+    if split:  # several passes: texts are made into words in the first one only
+        docs = materialize(_in_words(docs, "doc_id"), "words")
+    out = spark.createDataFrame([], schema)
+    for n, block in enumerate(_blocks(every, count, block_words)):
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, min_match)
-            for batch in slices(it, 1):
+        def batches(it: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, min_match)
+            for batch in it if split else slices(it, 1):
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 rows = []
-                for doc, numbers, found in index.candidates([words(t) for t in texts]):
-                    for i in sorted(found):
-                        item_id, item = index.items[i]
-                        if min_coverage and _reach(numbers, item, min_match) < min_coverage * len(item):
-                            continue
-                        tiles = tile(numbers, item, min_match)
-                        if not tiles:
-                            continue
-                        longest, covered = max(t[2] for t in tiles), sum(t[2] for t in tiles)
-                        if longest >= min_longest and covered >= min_coverage * len(item):
-                            rows.append((doc, item_id, len(tiles), longest, covered, len(item), covered / len(item)))
-                cols = list(zip(*rows)) or [()] * 7
-                numbers_out = [pa.array(c, pa.int32()) for c in cols[2:6]]
-                out = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1]), *numbers_out, pa.array(cols[6], pa.float64())]
+                for doc, numbers, i in index.candidates(texts if split else [words(t) for t in texts], min_coverage):
+                    item_id, item = index.items[i]
+                    tiles = tile(numbers, item, min_match)
+                    if not tiles:
+                        continue
+                    longest, covered = max(t[2] for t in tiles), sum(t[2] for t in tiles)
+                    if longest >= min_longest and covered >= min_coverage * len(item):
+                        rows.append((doc, item_id, len(tiles), longest, covered, len(item), covered / len(item)))
                 if rows:
+                    cols = list(zip(*rows))
+                    numbers_out = [pa.array(c, pa.int32()) for c in cols[2:6]]
+                    out = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1]), *numbers_out, pa.array(cols[6], pa.float64())]
                     yield pa.RecordBatch.from_arrays(out, columns)
 
-        parts.append(docs.mapInArrow(batches, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found = docs.mapInArrow(batches, schema)
+        out = found if n == 0 else out.unionByName(found)
     return out
 
 
-def _blocks(items: DataFrame, min_match: int, block_words: int) -> Iterator[list[tuple]]:
-    """The items with their words, in blocks of at most ``block_words`` words or one item; one block at a time is on the driver."""
-    rows = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    n = F.octet_length("text") / 6  # about as many words, or more
-    total = rows.agg(F.sum(n)).first()[0] or 0
-    count = max(1, int(-(-total // (block_words / 2))))
+def _in_words(texts: DataFrame, key: str) -> DataFrame:
+    """(key, words) of (key, text)."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, 1):
+            lists = pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "words"])
+
+    return texts.select(key, "text").mapInArrow(batches, f"`{key}` {dict(texts.dtypes)[key]}, words array<string>")
+
+
+def _item_words(items: DataFrame, min_match: int, block_words: int) -> tuple[DataFrame, int]:
+    """(item_id, words, block) of the items with ``min_match`` words, each once, in a folder for each block, and the number of blocks."""
+    rows = _in_words(items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct(), "item_id")
+    rows = materialize(rows.where(F.size("words") >= min_match), "item-words")
+    total = rows.agg(F.sum(F.size("words"))).first()[0] or 0
+    count = max(1, int(-(-total // max(1, block_words // 2)))) if total > block_words else 1
+    block = F.pmod(F.xxhash64("item_id", "words"), F.lit(count)).cast("int")
+    rows = rows.withColumn("block", block)
+    if count > 1:
+        path = scratch(rows.sparkSession, "item-blocks")
+        rows.repartition("block").write.partitionBy("block").parquet(path)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows, count
+
+
+def _blocks(rows: DataFrame, count: int, block_words: int) -> Iterator[list[tuple]]:
+    """The items of each block in turn, or of its parts of at most ``block_words`` words; only one is on the driver."""
     for i in range(count):
         block: list[tuple] = []
         size = 0
-        for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).toLocalIterator():
-            text_words = words(r.text)
-            if len(text_words) < min_match:
-                continue
-            if block and size + len(text_words) > block_words:
+        for r in rows.where(F.col("block") == i).select("item_id", "words").toLocalIterator():
+            if block and size + len(r.words) > block_words:
                 yield sorted(block, key=lambda x: (str(x[0]), x[1]))
                 block, size = [], 0
-            block.append((r.item_id, text_words))
-            size += len(text_words)
+            block.append((r.item_id, r.words))
+            size += len(r.words)
         if block:
             yield sorted(block, key=lambda x: (str(x[0]), x[1]))

@@ -66,6 +66,21 @@ def test_without_usable_rows(spark):
     assert [(r.doc_id, r.seg_lang) for r in L.languages(docs).orderBy("doc_id").collect()] == [(1, None), (2, None)]
 
 
+def test_a_corpus_of_long_texts_gets_its_languages(spark):
+    en = "The committee will now discuss the report on the new railway timetable and the weather at sea. "
+    nl = "De commissie bespreekt nu het verslag over de nieuwe dienstregeling en het weer op zee. "
+    docs = spark.createDataFrame([(i, *(("en", en * 400) if i % 2 else ("nl", nl * 400))) for i in range(8)], "doc_id long, lang string, text string")
+    lines = L.sample(docs)
+    assert {lang for _, lang in lines} == {"en", "nl"} and all(len(line) <= L.SAMPLE_CHARS for line, _ in lines)
+    assert {(r.doc_id % 2, r.seg_lang) for r in L.languages(docs).where("seg_no = 0").collect()} == {(1, "en"), (0, "nl")}
+
+
+def test_rows_that_cannot_be_fitted_on_do_not_crowd_out_the_others(spark):
+    en = "The committee will now discuss the report on the new railway timetable."
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.when(F.col("id") < 20, F.lit(en)).otherwise(F.lit("short")).alias("text"))
+    assert len(L.sample(docs, rows=15)) == 15
+
+
 def test_the_fit_repeats(spark):
     lines = L.sample(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), rows=10)
     a, b = L.Discriminator(lines), L.Discriminator(lines)
