@@ -138,11 +138,17 @@ class ConflictError(RuntimeError):
 
 
 _ROWS = "sst_id long, pos long, key string, vtype int, seq long, file_id long, offset long, value_size long"
-_FILES = "file_id long, entries long, bytes long, smallest_key string"
+_FILES = "db_id long, level int, file_id long, entries long, bytes long, smallest_key string"
 #: Every so many versions the commit names all partitions and not only those changed.
 _WHOLE = 16
 
 
+def _partition() -> Column:
+    """A partition's name, as parts of a path."""
+    level = F.coalesce(F.col("level").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return F.concat(F.lit("db_id="), F.col("db_id").cast("string"), F.lit("/level="), level)
+
+
 class SnapshotStore:
     """Entries in parquet under ``path``, partitioned by (db_id, level), with numbered versions.
 
@@ -179,22 +185,12 @@ class SnapshotStore:
         """The partitions changed by later versions."""
         return {p for n in range(version + 1, self.version() + 1) for p in self._commits.read(n)["changed"]}
 
-    def _table(self, kind: str, schema: str, version: int | None, only: set[str] | None) -> DataFrame:
-        parts = self._partitions(self.version() if version is None else version)
+    def _folders(self, version: int | None) -> dict[str, list[str]]:
+        """Of each folder that a version reads its partitions that count."""
         folders: dict[str, list[str]] = {}
-        for p, at in parts.items():
-            if only is None or p in only:
-                folders.setdefault(at, []).append(p)
-        root, schema = f"{self.path}/{kind}", f"{schema}, change string, db_id long, level int"
-        paths = []
-        for at, have in folders.items():
-            whole = f"{root}/change={at}"
-            there = self._on_disk(whole)
-            # a folder that is read in whole is one path
-            paths += ([whole] if there <= set(have) else [f"{whole}/{p}" for p in have if p in there]) if there else []
-        if not paths:
-            return self.spark.createDataFrame([], schema).drop("change")
-        return self.spark.read.option("basePath", root).schema(schema).parquet(*paths).drop("change")
+        for p, at in self._partitions(self.version() if version is None else version).items():
+            folders.setdefault(at, []).append(p)
+        return folders
 
     def _on_disk(self, at: str) -> set[str]:
         """The partitions that a folder has, as parts of a path."""
@@ -205,29 +201,43 @@ class SnapshotStore:
 
     def read(self, version: int | None = None, only: set[str] | None = None) -> DataFrame:
         """(db_id, level, sst_id, pos, entry) of a version, the last one by default; of the partitions ``only``, when given."""
-        return self._table("rows", _ROWS, version, only).select(*self.SPEC, "sst_id", "pos", *ENTRY)
+        root, paths = f"{self.path}/rows", []
+        for at, have in self._folders(version).items():
+            there, have = self._on_disk(f"{root}/change={at}"), {p for p in have if only is None or p in only}
+            # a folder that is read in whole is one path
+            paths += ([f"{root}/change={at}"] if there <= have else [f"{root}/change={at}/{p}" for p in sorted(have & there)]) if there else []
+        schema = f"{_ROWS}, change string, db_id long, level int"
+        rows = self.spark.read.option("basePath", root).schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.select(*self.SPEC, "sst_id", "pos", *ENTRY)
 
     def files(self, version: int | None = None) -> DataFrame:
         """(db_id, level, file_id, entries, bytes, smallest_key) of the files of a version."""
-        return self._table("files", _FILES, version, None).select(*self.SPEC, "file_id", "entries", "bytes", "smallest_key")
+        root, folders = f"{self.path}/files", self._folders(version)
+        schema = f"{_FILES}, change string"
+        if not folders:
+            return self.spark.createDataFrame([], schema).drop("change")
+        rows = self.spark.read.option("basePath", root).schema(schema).parquet(*(f"{root}/change={at}" for at in folders))
+        # a row for each partition of the version
+        now = self.spark.createDataFrame([(at, p) for at, have in folders.items() for p in have], "_change string, _partition string")
+        return rows.join(if_small(now, now.count()), (F.col("change") == F.col("_change")) & (_partition() == F.col("_partition")), "left_semi").drop("change")
 
     def commit(self, rows: DataFrame, base: int, files: DataFrame | None = None, touched: set[str] = frozenset()) -> int:
         """Replace the partitions in ``rows`` by ``rows``, which were computed from version ``base``; the new version's number.
 
-        ``files`` lists the files, with empty ones, when they are known. Partitions ``touched`` that aren't in ``rows`` or
+        ``files`` (db_id, level, file_id, smallest_key) lists the files when empty ones are among them. Partitions ``touched`` that aren't in ``rows`` or
         ``files`` are gone. Another writer's version in between is no conflict when it is about other partitions.
         """
         at = uuid.uuid4().hex
         rows = rows.where("db_id IS NOT NULL").select(*self.SPEC, "sst_id", "pos", *ENTRY)
         # a partition's rows are in one task, or in several of the advisory size when it is large: few files, none of them huge
         gathered = rows.hint("rebalance", *self.SPEC).sortWithinPartitions(*self.SPEC, "sst_id", "pos")
-        self._write(gathered, "rows", at)
-        if files is None:
-            there = self._written(at)
-            files = there.groupBy(*self.SPEC, F.col("sst_id").alias("file_id")).agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"), F.min("key").alias("smallest_key"))
-            files = files.withColumn("bytes", file_bytes(F.col("body"), F.col("entries")))
-        self._write(files.select(*self.SPEC, "file_id", "entries", "bytes", "smallest_key").coalesce(1), "files", at)
-        have = self._on_disk(f"{self.path}/rows/change={at}") | self._on_disk(f"{self.path}/files/change={at}")
+        gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.SPEC).parquet(f"{self.path}/rows/change={at}")
+        own = self._written(at).groupBy(*self.SPEC, F.col("sst_id").alias("file_id")).agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"), F.min("key").alias("smallest_key"))
+        own = own.withColumn("bytes", file_bytes(F.col("body"), F.col("entries")))
+        own = own if files is None else listed_sizes(files, own)
+        listed = f"{self.path}/files/change={at}"
+        own.select(*self.SPEC, "file_id", "entries", "bytes", "smallest_key").write.parquet(listed)
+        have = {r.p for r in self.spark.read.schema(_FILES).parquet(listed).select(_partition().alias("p")).distinct().collect()}
         changed = {p: at for p in have} | {p: None for p in touched - have}
         while True:
             last = self.version()
@@ -242,9 +252,6 @@ class SnapshotStore:
             except Taken:
                 continue  # another writer was faster: is it about the same partitions?
 
-    def _write(self, rows: DataFrame, kind: str, at: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.SPEC).parquet(f"{self.path}/{kind}/change={at}")
-
     def _written(self, at: str) -> DataFrame:
         return self.spark.read.schema(f"{_ROWS}, db_id long, level int").parquet(f"{self.path}/rows/change={at}")
 
@@ -283,10 +290,7 @@ def load(store: SnapshotStore, sst: DataFrame, manifest: DataFrame) -> int:
     count = current.count()
     level = if_small(current.select(F.col("db_id").alias("_db"), F.col("file_id").alias("_file"), F.col("level").alias("_level")), count)
     own = sst.select("db_id", "sst_id", "pos", *ENTRY).join(level, (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file")))
-    rows = materialize(own.select("db_id", F.col("_level").alias("level"), "sst_id", "pos", *ENTRY).distinct(), "entries")
-    sizes = rows.groupBy("db_id", F.col("sst_id").alias("file_id")).agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_bytes() + index_bytes()).alias("body"))
-    sizes = sizes.withColumn("bytes", file_bytes(F.col("body"), F.col("entries")))
-    return store.commit(rows, 0, files=listed_sizes(current, sizes))
+    return store.commit(own.select("db_id", F.col("_level").alias("level"), "sst_id", "pos", *ENTRY).distinct(), 0, files=current)
 
 
 def compact(store: SnapshotStore, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> tuple[DataFrame, int]:
@@ -308,7 +312,7 @@ def compact(store: SnapshotStore, small_bytes: int = SMALL_BYTES, target_bytes:
     same = (F.col("p.db_id") == F.col("n.db_id")) & F.col("p.level").eqNullSafe(F.col("n.level")) & (F.col("p.lane") == F.col("n.lane")) & (F.col("p.bin") == F.col("n.bin"))
     moves = plan.alias("p").join(if_small(names, count).alias("n"), same).select(F.col("p.db_id").alias("_db"), F.col("p.file_id").alias("_file"), "new_id")
     moves = if_small(materialize(moves, "moves"), plan.count())
-    touched = {f"db_id={r.db_id}/level={'__HIVE_DEFAULT_PARTITION__' if r.level is None else r.level}" for r in plan.select("db_id", "level").distinct().collect()}
+    touched = {r.p for r in plan.select(_partition().alias("p")).distinct().collect()}
     old = store.read(base, touched)
     mine = (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file"))
     kept = old.join(moves, mine, "left_anti")
