@@ -32,6 +32,16 @@ def varint_hex(value: Column, most: int = 5) -> Column:
     return F.when(length <= most, F.concat(*parts))
 
 
+def unvarint_hex(digits: Column, most: int = 10) -> Column:
+    """The struct (value, bytes) of the number that hexadecimal digits begin with; null when it doesn't end within them or has
+    more than ``most`` bytes. Of ten bytes the value is as a long holds it."""
+    byte = lambda i: F.conv(F.nullif(F.substring(digits, 2 * i + 1, F.lit(2)), F.lit("")), 16, 10).cast("long")
+    every = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), byte)
+    length = F.array_position(F.transform(every, lambda b: F.coalesce(b < 128, F.lit(False))), True).cast("int")
+    value = F.aggregate(F.reverse(F.slice(every, 1, length)), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 7).bitwiseOR(b.bitwiseAND(127)))
+    return F.when(length > 0, F.struct(value.alias("value"), length.alias("bytes")))
+
+
 def fixed_hex(value: Column, size: int) -> Column:
     """A number's ``size`` bytes, least first, in hexadecimal digits; negative numbers in two's complement."""
     big = F.lpad(F.hex(value.cast("long")), 16, "0")
@@ -59,6 +69,15 @@ def prefixed_hex(text: Column) -> Column:
     return F.concat(varint_hex(F.octet_length(text)), F.hex(F.encode(text, "UTF-8")))
 
 
+def unprefixed_hex(digits: Column) -> Column:
+    """The struct (text, rest) of digits that begin with a string after its length; null when they end before it does."""
+    head = unvarint_hex(digits, 5)
+    begin, size = (2 * head["bytes"] + 1).cast("int"), (2 * head["value"]).cast("int")
+    text = F.decode(F.unhex(F.substring(digits, begin, size)), "UTF-8")
+    whole = F.length(digits) >= 2 * head["bytes"] + 2 * head["value"]
+    return F.when(whole, F.struct(text.alias("text"), F.substring(digits, begin + size, F.length(digits)).alias("rest")))
+
+
 def status_text(code: Column, message: Column) -> Column:
     """``OK``, or the code and, when there is one, its message."""
     return F.when(code == "OK", "OK").when(F.coalesce(message, F.lit("")) == "", code).otherwise(F.concat(code, F.lit(": "), message))
@@ -74,17 +93,48 @@ def _crc_table() -> np.ndarray:
 _TABLE = _crc_table()
 
 
-def crc32c(values: list[bytes]) -> np.ndarray:
-    """CRC-32C of each value, all values a byte at a time."""
-    lengths = np.array([len(v) for v in values], np.int64)
-    flat = np.frombuffer(b"".join(values), np.uint8)
-    starts = np.cumsum(lengths) - lengths
-    crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
+#: Bytes of the pieces in which long values are summed up side by side.
+_PIECE = 256
+
+
+def _raw(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The checksum's register after each of the pieces, from ``begin`` on, all pieces a byte at a time."""
+    crc = begin.copy()
     order = np.argsort(-lengths, kind="stable")
-    counts = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max(initial=0)) + 1), "right")
+    counts = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), "right")
     for i, n in enumerate(counts.tolist()):
         at = order[:n]
         crc[at] = _TABLE[(crc[at] ^ flat[starts[at] + i]) & 0xFF] ^ (crc[at] >> np.uint32(8))
+    return crc
+
+
+def _shifts() -> np.ndarray:
+    """For each byte of the register and its value what ``_PIECE`` zero bytes make of it."""
+    zeros = np.zeros(_PIECE, np.uint8)
+    every = (np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]).ravel()
+    at = np.zeros(len(every), np.int64)
+    return _raw(zeros, at, at + _PIECE, every).reshape(4, 256)
+
+
+_SHIFT = _shifts()
+
+
+def crc32c(values: list[bytes]) -> np.ndarray:
+    """CRC-32C of each value. Values are cut into pieces, which are summed up side by side and put together again."""
+    lengths = np.array([len(v) for v in values], np.int64)
+    flat = np.frombuffer(b"".join(values), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    head, pieces = lengths % _PIECE, lengths // _PIECE
+    crc = _raw(flat, starts, head, np.full(len(values), 0xFFFFFFFF, np.uint32))
+    first = np.cumsum(pieces) - pieces
+    of = np.repeat(np.arange(len(values)), pieces)
+    at = starts[of] + head[of] + _PIECE * (np.arange(len(of)) - first[of])
+    parts = _raw(flat, at, np.full(len(of), _PIECE, np.int64), np.zeros(len(of), np.uint32))
+    left = np.flatnonzero(pieces)
+    for i in range(int(pieces.max(initial=0))):
+        left = left[pieces[left] > i]
+        c = crc[left]
+        crc[left] = _SHIFT[0][c & 0xFF] ^ _SHIFT[1][(c >> 8) & 0xFF] ^ _SHIFT[2][(c >> 16) & 0xFF] ^ _SHIFT[3][c >> 24] ^ parts[first[left] + i]
     return (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -152,6 +202,12 @@ def bloom_positions(h1: Column, h2: Column, bits: Column, hashes: int) -> Column
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i.cast("long") * h2, bits))
 
 
+def value_record_bytes(vtype: Column, key: Column, value: Column) -> Column:
+    """What a value-log record's checksum covers: kind, key length, key, value length and value."""
+    number = lambda c, size: F.unhex(fixed_hex(c, size))
+    return F.concat(number(vtype, 1), number(F.octet_length(key), 4), F.encode(key, "UTF-8"), number(F.octet_length(value), 4), F.encode(value, "UTF-8"))
+
+
 def record_hex(length: Column, vtype: Column, seq: Column, key: Column, pointer: list[Column]) -> Column:
     """What a log record's checksum covers, in hexadecimal digits: length, kind, sequence number, key length, key and a put's pointer."""
     head = F.concat(fixed_hex(length, 4), fixed_hex(vtype, 1), fixed_hex(seq, 8), fixed_hex(F.octet_length(key), 4), F.hex(F.encode(key, "UTF-8")))

@@ -1,8 +1,8 @@
 """The order-dependent folds: segment rotation, memtable packing and the splitting of outputs.
 
 Where a record goes depends on all before it in its shard. The rotation is nevertheless done in parallel and exactly: a block
-of records is summed up by where each possible first rotation in it leads to, the blocks' sums are put together one after the
-other, and then each block is laid out from the place that it is now known to begin at. The other two are one stream for each
+of records is summed up by where each possible first rotation in it leads to, the blocks' sums pass one after the other through
+one task for each shard, and then each block is laid out from the place that it is now known to begin at. The other two are one stream for each
 shard: its rows are sorted and pass through one task in Arrow batches, with a state of a few numbers (memtable packing: the
 keys of one memtable); a shard is never gathered. Shards are independent stores by hash of the key, as many as the data need.
 With one shard the layout is that of a single store.
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import if_small, materialize
 from .kvlog import PUT
 
-#: Segments that a block of the rotation has at least, and its rows, about; logs of fewer rows are one stream.
-BLOCK_SEGMENTS, BLOCK_ROWS = 16, 500_000
+#: Rows of a block of the rotation, about; there are two blocks at least.
+BLOCK_ROWS = 500_000
 SEGMENT_BYTES, MEMTABLE_BYTES = 256 << 20, 4 << 20
 #: Bytes that a memtable is charged for a key besides its length, on its first insertion.
 KEY_CHARGE = 88
@@ -93,17 +93,7 @@ def vlog_layout(mutations: DataFrame, limit: int = SEGMENT_BYTES, shards: int =
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
     puts = mutations.where((F.col("vtype") == PUT) & F.col("seq").isNotNull())
     rows = puts.select(shard_of("key", shards).alias("shard"), "seq", "key", size("value").alias("value_size"), (size("key") + size("value") + 13).alias("rec_size"), *extra)
-    total = rows.agg(F.sum("rec_size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    blocks = min((total.bytes or 0) // (BLOCK_SEGMENTS * limit), -(-total.n // block_rows))
-    if blocks > 1:
-        return _rotate_blocks(rows, limit, first, blocks)
-    at = rows.columns.index("rec_size")
-
-    def step(state: _Segments, part: pa.RecordBatch) -> dict:
-        files, offsets = state.place(part.column(at).to_numpy(zero_copy_only=False))
-        return {"file_id": files, "offset": offsets}
-
-    return fold(rows, "shard", ["seq"], {"file_id": "bigint", "offset": "bigint"}, lambda part: _Segments(*first, limit), step)
+    return _rotate_blocks(rows, limit, first, max(2, -(-rows.count() // block_rows)))
 
 
 def summarize(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
@@ -141,41 +131,59 @@ def after_block(file_id: int, offset: int, limit: int, first_size: int, total: i
     at = bisect_right(upto, left)
     if at == len(upto):
         return file_id, offset + total
-    return file_id + rotations[at], offsets[at]
+    return file_id + int(rotations[at]), int(offsets[at])
 
 
 def _rotate_blocks(rows: DataFrame, limit: int, first: tuple[int, int], blocks: int) -> DataFrame:
-    """The rotation by blocks of at least ``BLOCK_SEGMENTS`` segments; records have bytes, as their heads alone have thirteen.
+    """The rotation by blocks; records have bytes, as their heads alone have thirteen.
 
-    What one task sees of the whole shard is a few numbers for each block.
+    A block's sum is a row for each outcome that its first rotation can have: a few where records differ in size, and at most
+    as many as it has records in one segment. The task of a shard sees them one block at a time.
     """
     flat = materialize(rows.repartitionByRange(blocks, "shard", "seq").withColumn("_part", F.spark_partition_id()), "blocks")
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf.sort_values("seq")["rec_size"].to_numpy()
         upto, rotations, offsets = summarize(sizes, limit)
-        return pd.DataFrame([(pdf["shard"].iloc[0], pdf["_part"].iloc[0], sizes[0], sizes.sum(), upto, rotations, offsets)])
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "_part": pdf["_part"].iloc[0], "first_size": sizes[0], "total": sizes.sum(), "upto": upto, "rotations": rotations, "offsets": offsets})
+
+    names = ["shard", "_part", "first_size", "total", "upto", "rotations", "offsets"]
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, (file_id, offset) = [], first
-        for r in pdf.sort_values("_part").itertuples():
-            out.append((r.shard, r[2], file_id, offset))
-            file_id, offset = after_block(file_id, offset, limit, r.first_size, r.total, (list(r.upto), list(r.rotations), list(r.offsets)))
-        return pd.DataFrame(out)
+    def compose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, pieces = first, None, []
+
+        def after() -> tuple[int, int]:
+            own = np.concatenate(pieces, axis=1)
+            return after_block(*at, limit, int(own[2][0]), int(own[3][0]), (own[4], own[5], own[6]))
+
+        for batch in it:
+            cols = np.array([batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in names], np.int64)
+            cuts = [0, *(np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1).tolist(), cols.shape[1]]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                now = (int(cols[0][a]), int(cols[1][a])) if b > a else block
+                if now != block:
+                    at = after() if block and block[0] == now[0] else first
+                    block, pieces = now, []
+                    out.append((*now, *at))
+                pieces.append(cols[:, a:b])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["shard", "_part", "_file", "_offset"])
 
     sums = flat.select("shard", "_part", "seq", "rec_size").groupBy("shard", "_part").applyInPandas(
-        summary, "shard int, _part int, first_size bigint, total bigint, upto array<bigint>, rotations array<bigint>, offsets array<bigint>"
+        summary, "shard int, _part int, first_size bigint, total bigint, upto bigint, rotations bigint, offsets bigint"
     )
-    begins = sums.groupBy("shard").applyInPandas(compose, "shard int, _part int, _file bigint, _offset bigint")
+    sums = sums.repartition("shard").sortWithinPartitions("shard", "_part", "upto")
+    begins = materialize(sums.mapInArrow(compose, "shard int, _part int, _file bigint, _offset bigint"), "begins")
     # a row for each block and for each shard that begins inside one
-    units = flat.join(F.broadcast(begins), ["shard", "_part"]).withColumn("_unit", F.concat_ws("/", "shard", "_part"))
-    names = units.columns
+    units = flat.join(if_small(begins, begins.count()), ["shard", "_part"]).withColumn("_unit", F.concat_ws("/", "shard", "_part"))
+    names_ = units.columns
 
     def start(part: pa.RecordBatch) -> _Segments:
-        return _Segments(part.column(names.index("_file"))[0].as_py(), part.column(names.index("_offset"))[0].as_py(), limit)
+        return _Segments(part.column(names_.index("_file"))[0].as_py(), part.column(names_.index("_offset"))[0].as_py(), limit)
 
     def step(state: _Segments, part: pa.RecordBatch) -> dict:
-        files, offsets = state.place(part.column(names.index("rec_size")).to_numpy(zero_copy_only=False))
+        files, offsets = state.place(part.column(names_.index("rec_size")).to_numpy(zero_copy_only=False))
         return {"file_id": files, "offset": offsets}
 
     placed = fold(units, "_unit", ["seq"], {"file_id": "bigint", "offset": "bigint"}, start, step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import crc32c_of, record_hex
+from ..functions.codecs import crc32c_of, record_hex, value_record_bytes
 from ..session import if_small
 from .kvlog import DELETE, POINTER, PUT, readable
 from .state import latest, live
@@ -50,17 +50,35 @@ def checked(wal: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.coalesce(F.col("crc") == F.col("computed"), F.lit(False)))
 
 
+def checked_values(vlog: DataFrame) -> DataFrame:
+    """(db_id, file_id, offset, crc, computed, ok) of the value-log records that have a place, kind, key and value.
+
+    ``ok`` is null where no checksum is stated: such a record is neither right nor damaged.
+    """
+    rows = vlog.where("db_id IS NOT NULL AND file_id IS NOT NULL AND offset IS NOT NULL AND vtype IS NOT NULL AND key IS NOT NULL AND value IS NOT NULL")
+    body = value_record_bytes(F.col("vtype"), F.col("key"), F.col("value"))
+    return rows.select("db_id", "file_id", "offset", "crc", crc32c_of(body).alias("computed")).withColumn("ok", F.col("crc") == F.col("computed"))
+
+
 def deref(pointers: DataFrame, vlog: DataFrame) -> DataFrame:
-    """(db_id, key, status, value) of pointers: a record must stand there and its value have the stated size.
+    """(db_id, key, status, value) of pointers: a record must stand there, its value have the stated size and its checksum be right.
 
-    Records repeated in the value log count once; of different ones at a place the greatest (arrival, value) counts.
+    Records repeated in the value log count once; of different ones at a place the greatest (arrival, value) counts. A record
+    without a stated checksum can't be wrong in it. Records that no pointer leads to are left out before anything is shuffled
+    when the pointers are few; checksums are worked out for records that are returned only.
     """
     place = ["db_id", "file_id", "offset"]
-    last = vlog.where("offset IS NOT NULL").groupBy(*place).agg(F.max(F.struct("arrived_at", "value")).alias("r"))
-    rows = pointers.select("db_id", "key", *POINTER).join(last.select(*place, F.col("r.value").alias("value"), F.lit(True).alias("there")), place, "left")
+    pointers = pointers.select("db_id", "key", *POINTER)
+    wanted = if_small(pointers.select(*place), pointers.count())
+    fields = ["arrived_at", "value", "crc", "vtype", F.col("key").alias("own_key")]
+    last = vlog.where("offset IS NOT NULL").join(wanted, place, "left_semi").groupBy(*place).agg(F.max(F.struct(*fields)).alias("r"))
+    rows = pointers.join(last.select(*place, "r.*", F.lit(True).alias("there")), place, "left")
     fits = F.octet_length("value") == F.col("value_size")
-    status = F.when(F.col("there").isNull(), "NotFound: No record").when(fits, "OK").otherwise("Corruption: Value size")
-    return rows.select("db_id", "key", status.alias("status"), F.when(fits, F.col("value")).alias("value"))
+    stated = fits & F.col("crc").isNotNull() & F.col("vtype").isNotNull() & F.col("own_key").isNotNull()
+    rows = rows.withColumn("computed", crc32c_of(F.when(stated, value_record_bytes(F.col("vtype"), F.col("own_key"), F.col("value")))))
+    wrong = F.coalesce(F.col("computed") != F.col("crc"), F.lit(False))
+    status = F.when(F.col("there").isNull(), "NotFound: No record").when(~F.coalesce(fits, F.lit(False)), "Corruption: Value size").when(wrong, "Corruption: Checksum").otherwise("OK")
+    return rows.select("db_id", "key", status.alias("status"), F.when(fits & ~wrong, F.col("value")).alias("value"))
 
 
 def lookups(wal: DataFrame) -> DataFrame:

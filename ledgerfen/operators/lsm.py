@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.codecs import bloom_bits, bloom_h1, bloom_h2, bloom_hashes, varint_length
+from ..functions.codecs import bloom_bits, bloom_h1, bloom_h2, bloom_hashes, bloom_positions, fixed_hex, varint_length
 from ..session import if_small, materialize
 from .folds import split_outputs
 from .kvlog import DELETE, POINTER, latest_listing
@@ -73,51 +73,56 @@ def sparse_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def build_blooms(entries: DataFrame, file: list[str], bits_per_key: int = 10) -> DataFrame:
-    """(file, num_hashes, bits): a filter for each file, which is bounded; its keys' bits are set in one byte string.
+    """(file, num_hashes, num_bits, word_no, word): a filter for each file, in words of 64 bits; words without bits are left out.
 
-    The hashes and positions are columns; only the setting of the bits is done in Python, a file at a time.
+    The hashes are worked out in batches; positions, words and their union are built-in aggregations on (file, word).
     """
     hashes = bloom_hashes(bits_per_key)
     keys = entries.where("key IS NOT NULL").select(*file, "key").distinct()
-    sized = keys.withColumns({"h1": bloom_h1("key"), "h2": bloom_h2("key")})
-    grouped = sized.groupBy(*file).agg(F.collect_list(F.struct("h1", "h2")).alias("h"))
-    grouped = grouped.withColumn("m", bloom_bits(F.size("h"), bits_per_key))
-
-    @F.pandas_udf("binary")
-    def fill(h: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for pairs, bits in zip(h, m):
-            h1, h2 = np.array([p["h1"] for p in pairs], np.uint64), np.array([p["h2"] for p in pairs], np.uint64)
-            at = (h1[:, None] + np.arange(hashes, dtype=np.uint64) * h2[:, None]) % np.uint64(bits)
-            field = np.zeros(int(bits), np.uint8)
-            field[at.ravel().astype(np.int64)] = 1
-            out.append(np.packbits(field, bitorder="little").tobytes())
-        return pd.Series(out)
+    sizes = keys.groupBy(*file).agg(bloom_bits(F.count(F.lit(1)), bits_per_key).alias("num_bits"))
+    sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in file), "num_bits")
+    sized = keys.join(sizes, _same_file(file)).select(*file, "num_bits", bloom_h1("key").alias("h1"), bloom_h2("key").alias("h2"))
+    at = sized.select(*file, "num_bits", F.explode(bloom_positions(F.col("h1"), F.col("h2"), F.col("num_bits"), hashes)).alias("p"))
+    word = F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("word")
+    words = at.groupBy(*file, "num_bits", F.floor(F.col("p") / 64).cast("long").alias("word_no")).agg(word)
+    return words.select(*file, F.lit(hashes).alias("num_hashes"), "num_bits", "word_no", "word")
 
-    return grouped.select(*file, F.lit(hashes).alias("num_hashes"), fill("h", "m").alias("bits"))
 
+def _same_file(file: list[str]) -> Column:
+    return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in file))
 
-def may_contain(blooms: DataFrame, probes: DataFrame, file: list[str]) -> DataFrame:
-    """(file, key, maybe) of probes: whether all of the key's bits are set; an empty filter holds nothing."""
-    both = probes.select(*file, "key").join(blooms, file)
-    rows = both.withColumns({"h1": bloom_h1("key"), "h2": bloom_h2("key")})
 
-    @F.pandas_udf("boolean")
-    def all_set(bits: pd.Series, hashes: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-        out = []
-        for b, k, x, y in zip(bits, hashes, h1, h2):
-            m = 8 * len(b)
-            out.append(bool(m) and all(b[(p := (int(x) + i * int(y)) % m) >> 3] >> (p & 7) & 1 for i in range(k)))
-        return pd.Series(out)
+def bloom_bytes(blooms: DataFrame, file: list[str]) -> DataFrame:
+    """(file, num_hashes, bits): the filters as byte strings, a file's at a time; files are bounded by the size they are closed at."""
+    words = F.map_from_entries(F.collect_list(F.struct("word_no", fixed_hex(F.col("word"), 8))))
+    one = blooms.groupBy(*file, "num_hashes", "num_bits").agg(words.alias("w"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("num_bits") - 1) / 64)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit("0" * 16)))
+    return one.select(*file, "num_hashes", F.unhex(F.substring(F.array_join(every, ""), F.lit(1), (F.col("num_bits") / 4).cast("int"))).alias("bits"))
 
-    return rows.select(*file, "key", all_set("bits", "num_hashes", "h1", "h2").alias("maybe"))
 
+def may_contain(blooms: DataFrame, probes: DataFrame, file: list[str]) -> DataFrame:
+    """(file, key, maybe) of the distinct probes of files with a filter: whether all of the key's bits are set; an empty filter holds nothing.
 
-def current_entries(sst: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Distinct entries of the current files with the level of their listing."""
+    Each bit is looked up in its word by a join on (file, word), so no row has a filter in it and a file that is asked for
+    most is no hot one.
+    """
+    sizes = blooms.select(*(F.col(c).alias(f"_{c}") for c in file), "num_hashes", "num_bits").distinct()
+    asked = probes.where("key IS NOT NULL").select(*file, "key").distinct().join(sizes, _same_file(file))
+    asked = asked.select(*file, "key", "num_hashes", "num_bits", bloom_h1("key").alias("h1"), bloom_h2("key").alias("h2"))
+    place = F.transform(F.sequence(F.lit(0), F.col("num_hashes") - 1), lambda i: F.pmod(F.col("h1") + i.cast("long") * F.col("h2"), F.col("num_bits")))
+    bits = asked.select(*file, "key", F.explode(place).alias("p")).withColumn("_no", F.floor(F.col("p") / 64).cast("long"))
+    words = blooms.select(*(F.col(c).alias(f"_{c}") for c in file), "word_no", "word")
+    both = bits.join(words, _same_file(file) & (F.col("_no") == F.col("word_no")), "left")
+    is_set = F.coalesce(F.expr("(shiftright(word, CAST(p % 64 AS INT)) & 1) = 1"), F.lit(False))
+    return both.groupBy(*file, "key").agg(F.bool_and(is_set).alias("maybe"))
+
+
+def current_entries(sst: DataFrame, manifest: DataFrame, distinct: bool = False) -> DataFrame:
+    """Entries of the current files with the level of their listing; repeated rows are merged only if ``distinct``, as argmax needs no merging."""
     files = latest_listing(manifest).where("removed_at IS NULL").select("db_id", F.col("file_id").alias("sst_id"), "level")
-    rows = sst.select("db_id", "sst_id", "pos", "key", "vtype", "seq", *POINTER).distinct()
-    return rows.join(if_small(files, manifest.count()), ["db_id", "sst_id"])
+    rows = sst.select("db_id", "sst_id", "pos", "key", "vtype", "seq", *POINTER)
+    rows = rows.join(if_small(files, manifest.count()), ["db_id", "sst_id"])
+    return rows.distinct() if distinct else rows
 
 
 def layered_get(entries: DataFrame) -> DataFrame:
@@ -162,23 +167,36 @@ def compact_range(entries: DataFrame, limit: int, levels: int = LEVELS) -> DataF
     """``entries`` (db_id, sst_id, level, pos and the entry) after compacting every level but the last, from the first one on.
 
     What a level has moves to the next one, merged with the files there that it touches; in the end all is in the last level.
-    New files are numbered above those of their database. Each level's outcome is written down, as the next one's inputs
-    follow from its files.
+    New files are numbered above those of their database. Of each level only the outputs are written; which files count, and in
+    which level, is a listing of its own.
     """
-    columns = ["db_id", "sst_id", "level", "pos", "key", "vtype", "seq", *POINTER]
-    now = materialize(entries.select(columns), "level")
+    columns = ["db_id", "sst_id", "pos", "key", "vtype", "seq", *POINTER]
+    files = materialize(_key_ranges(entries), "files")
+    ever, written = files, [entries.select(columns)]
     for level in range(levels - 1):
-        files = now.groupBy("db_id", F.col("sst_id").alias("file_id"), "level").agg(F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"))
         inputs = materialize(overlap(files, level), "inputs")
-        if inputs.isEmpty():
+        count = inputs.count()
+        if not count:
             continue
-        top = now.groupBy("db_id").agg(F.max("sst_id").alias("top"))
+        now = _of_listing(written, files)
+        top = ever.groupBy("db_id").agg(F.max("file_id").alias("top"))
         order = W.partitionBy("db_id", "sst_id").orderBy("key")  # a file is bounded by the limit
         out = compact_level(now, inputs, level, limit).join(top, "db_id").withColumn("sst_id", F.col("top") + 1 + F.col("out_no"))
-        out = out.withColumns({"level": F.lit(level + 1), "pos": (F.row_number().over(order) - 1).cast("long")})
-        gone = if_small(inputs.select("db_id", F.col("file_id").alias("sst_id")), inputs.count())
-        now = materialize(now.join(gone, ["db_id", "sst_id"], "left_anti").select(columns).unionByName(out.select(columns)), "level")
-    return now
+        out = materialize(out.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).select(columns), "outputs")
+        new = materialize(_key_ranges(out.withColumn("level", F.lit(level + 1))), "files")
+        files = materialize(files.join(if_small(inputs.select("db_id", "file_id"), count), ["db_id", "file_id"], "left_anti").unionByName(new), "files")
+        ever, written = ever.unionByName(new), [*written, out]
+    return _of_listing(written, files)
+
+
+def _key_ranges(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("db_id", F.col("sst_id").alias("file_id"), "level").agg(F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"))
+
+
+def _of_listing(written: list[DataFrame], files: DataFrame) -> DataFrame:
+    """The entries of the files that are listed, with the level of the listing."""
+    every = reduce(DataFrame.unionByName, written)
+    return every.join(if_small(files.select("db_id", F.col("file_id").alias("sst_id"), "level"), files.count()), ["db_id", "sst_id"])
 
 
 def after_compaction(entries: DataFrame, inputs: DataFrame, level: int) -> DataFrame:

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import if_small
 from .folds import append_layout
 from .kvlog import POINTER
-from .ordered import numbered
+from .logs import checked_values
+from .ordered import running
 
 THRESHOLD = 0.5
 PLACE = ["db_id", "file_id", "offset"]
 
 
 def records(vlog: DataFrame, segments: DataFrame) -> DataFrame:
-    """(db_id, file_id, offset, rec_size, key, value) of the records of segments that aren't dropped, one for each place.
+    """(db_id, file_id, offset, rec_size, key) of the records of segments that aren't dropped, one for each place.
 
-    Of different records at a place the greatest counts. The size is computed, as stated ones may be wrong.
+    Of different records at a place the one with the greatest key, then the longest value counts. The size is computed, as
+    stated ones may be wrong. No value goes further than the scan: its length is all that is shuffled.
     """
     dropped = segments.where("dropped_at IS NOT NULL").select("db_id", "file_id").distinct()
-    rows = vlog.where("db_id IS NOT NULL AND file_id IS NOT NULL AND offset IS NOT NULL").join(dropped, ["db_id", "file_id"], "left_anti")
-    one = rows.groupBy(*PLACE).agg(F.max(F.struct("key", "value")).alias("r")).select(*PLACE, "r.key", "r.value")
-    size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + 13
-    return one.withColumn("rec_size", size.cast("long"))
+    rows = vlog.where("db_id IS NOT NULL AND file_id IS NOT NULL AND offset IS NOT NULL").select(*PLACE, "key", F.coalesce(F.octet_length("value"), F.lit(0)).alias("size"))
+    rows = rows.join(if_small(dropped, segments.count()), ["db_id", "file_id"], "left_anti")
+    one = rows.groupBy(*PLACE).agg(F.max(F.struct("key", "size")).alias("r")).select(*PLACE, "r.key", "r.size")
+    return one.select(*PLACE, "key", (F.coalesce(F.octet_length("key"), F.lit(0)) + F.col("size") + 13).cast("long").alias("rec_size"))
 
 
 def liveness(records: DataFrame, state: DataFrame) -> DataFrame:
@@ -45,6 +48,21 @@ def candidates(ratios: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return first.select("db_id", "file_id", "ratio", (F.col("ratio") >= threshold).alias("due"))
 
 
+def damaged(vlog: DataFrame, due: DataFrame) -> DataFrame:
+    """(db_id, file_id, bad) of the due segments that have records whose stated checksum is wrong, with their number.
+
+    Only the records of due segments, one a database at most, are read through.
+    """
+    own = due.where("due").select("db_id", "file_id")
+    rows = checked_values(vlog.join(if_small(own, own.count()), ["db_id", "file_id"], "left_semi")).distinct()
+    return rows.where("NOT ok").groupBy("db_id", "file_id").agg(F.count(F.lit(1)).alias("bad"))
+
+
+def safe(due: DataFrame, broken: DataFrame) -> DataFrame:
+    """``due`` without the damaged segments: what comes after a damaged record may be live, so the segment stays as it is."""
+    return due.join(broken.select("db_id", "file_id"), ["db_id", "file_id"], "left_anti")
+
+
 def rewrite(marked: DataFrame, due: DataFrame, limit: int) -> DataFrame:
     """(db_id, key, seq_step, old and new place, rec_size) of the live records of the due segments, appended in the order of their offsets.
 
@@ -54,16 +72,8 @@ def rewrite(marked: DataFrame, due: DataFrame, limit: int) -> DataFrame:
     moved = marked.where("live").join(due.where("due").select("db_id", "file_id"), ["db_id", "file_id"], "left_semi")
     rows = moved.join(ends, "db_id").select(*PLACE, "key", "rec_size", F.col("e.file_id").alias("open_file"), F.col("e.end").alias("open_offset"))
     placed = append_layout(rows, "db_id", ["file_id", "offset"], "rec_size", "open_file", "open_offset", limit)
-    base = placed.groupBy("db_id").count().select("db_id", F.col("count").alias("n"))
-    ordered = numbered(placed, ["db_id", "file_id", "offset"], "no").join(F.broadcast(_before(base)), "db_id")
-    return ordered.select(*PLACE, "key", "rec_size", (F.col("no") - F.col("before")).cast("long").alias("seq_step"), "new_file_id", "new_offset")
-
-
-def _before(counts: DataFrame) -> DataFrame:
-    """(db_id, before): rows of the databases before each; a row a database."""
-    from pyspark.sql import Window as W
-
-    return counts.select("db_id", F.coalesce(F.sum("n").over(W.orderBy("db_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    steps = running(placed.withColumn("_one", F.lit(1)), ["db_id"], ["file_id", "offset"], {"seq_step": ("count", "_one")}, inclusive=True)
+    return steps.select(*PLACE, "key", "rec_size", F.col("seq_step").cast("long").alias("seq_step"), "new_file_id", "new_offset")
 
 
 def state_after(state: DataFrame, moved: DataFrame) -> DataFrame:

@@ -106,6 +106,11 @@ def crc32c_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.checked(load(spark, sf_dir, "wal")).distinct()
 
 
+def crc32c_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated and computed checksums of the value log's records."""
+    return logs.checked_values(load(spark, sf_dir, "vlog")).distinct()
+
+
 def wal_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid records of one log format, written as log files and read back by recovery."""
     logfiles.register(spark)
@@ -156,7 +161,7 @@ def sst_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sst_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current entries, written as sorted files with key filters, and looked up by a range of keys."""
     at = scratch(spark, "sst")
-    store.write_sorted(_current(spark, sf_dir), at, 8)
+    store.write_sorted(_current(spark, sf_dir, True), at, 8)
     return spark.read.parquet(at).where("key BETWEEN 'order_' AND 'user'").select("db_id", "sst_id", "pos", "key", "seq")
 
 
@@ -175,8 +180,9 @@ def _blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each file's keys against its own filter: none is missed."""
-    probes = load(spark, sf_dir, "sst").select("db_id", "sst_id", "key").distinct()
+    """Each file's keys, and as many that it hasn't, against its own filter: none is missed, and few others are taken for them."""
+    own = load(spark, sf_dir, "sst").select("db_id", "sst_id", "key").distinct()
+    probes = own.unionByName(own.withColumn("key", F.concat("key", F.lit("#")))).distinct()
     asked = lsm.may_contain(_blooms(spark, sf_dir), probes, ["db_id", "sst_id"])
     return asked.groupBy("db_id", "sst_id").agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("maybe"))
 
@@ -189,8 +195,8 @@ def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.groupBy("db_id").agg(F.count(F.lit(1)).alias("probes"), F.avg(F.col("maybe").cast("double")).alias("false_positive_rate"))
 
 
-def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsm.current_entries(load(spark, sf_dir, "sst"), load(spark, sf_dir, "manifest"))
+def _current(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    return lsm.current_entries(load(spark, sf_dir, "sst"), load(spark, sf_dir, "manifest"), distinct)
 
 
 def layered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +244,9 @@ def state_after_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = materialize(folds.vlog_layout(events_log(spark, sf_dir), SEGMENT, extra=("value",)), "layout")
     values = log.select("file_id", "offset", F.lit(1).alias("vtype"), "key", F.coalesce("value", F.lit("")).alias("value"))
     values.repartition("file_id").sortWithinPartitions("file_id", "offset").select("file_id", "vtype", "key", "value").write.format("kvvlog").mode("append").save(f"{base}/vlog")
-    wal = events_log(spark, sf_dir).select("seq", "key", "vtype").join(log.select("seq", *POINTER), "seq", "left")
-    wal = wal.select(F.floor(F.col("seq") / 5000).alias("wal_id"), "seq", "key", "vtype", *POINTER)
+    # a new log is begun with each memtable
+    runs = folds.memtable_runs(events_log(spark, sf_dir), 4 * MEMTABLE).select("seq", "key", "vtype", F.col("run_id").alias("wal_id"))
+    wal = runs.join(log.select("seq", *POINTER), "seq", "left").select("wal_id", "seq", "key", "vtype", *POINTER)
     wal.repartition("wal_id").sortWithinPartitions("wal_id", "seq").write.format("kvwal").mode("append").save(f"{base}/wal")
     again = spark.read.format("kvwal").load(f"{base}/wal")
     now = state.live(state.latest(again, ["key"], ["vtype", *POINTER]))
@@ -248,8 +255,8 @@ def state_after_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All levels compacted one after the other: the live entries and where they are in the end."""
-    return lsm.compact_range(_current(spark, sf_dir), SEGMENT).where("vtype = 1").select("db_id", "level", "key", "seq")
+    """All levels compacted one after the other: the entries and where they are in the end; no tombstone is left there."""
+    return lsm.compact_range(_current(spark, sf_dir, True), SEGMENT).select("db_id", "level", "key", "seq", "vtype")
 
 
 # reclaiming
@@ -270,7 +277,22 @@ def gc_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = materialize(_marked(spark, sf_dir), "marked")
-    return reclaim.rewrite(marked, reclaim.candidates(reclaim.segment_ratio(marked)), OLD_SEGMENT)
+    due = materialize(reclaim.candidates(reclaim.segment_ratio(marked)), "due")
+    return reclaim.rewrite(marked, reclaim.safe(due, reclaim.damaged(load(spark, sf_dir, "vlog"), due)), OLD_SEGMENT)
+
+
+def gc_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Due segments of a value log in which some records of databases with an even number were changed after they were summed up.
+
+    A segment that has such a record isn't reclaimed.
+    """
+    vlog = load(spark, sf_dir, "vlog")
+    hit = (F.col("db_id") % 2 == 0) & (F.col("offset") % 3 == 0)
+    broken = vlog.withColumn("value", F.when(hit, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    due = materialize(gc_candidate(spark, sf_dir), "due").where("due")
+    bad = materialize(reclaim.damaged(broken, due), "damaged")
+    kept = reclaim.safe(due, bad).select("db_id", "file_id", F.lit(True).alias("reclaimed"))
+    return due.select("db_id", "file_id").join(bad, ["db_id", "file_id"], "left").join(kept, ["db_id", "file_id"], "left").select("db_id", "file_id", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("reclaimed", F.lit(False)).alias("reclaimed"))
 
 
 def gc_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +352,17 @@ def codec_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", codecs.prefixed_hex(F.col("key")).alias("prefixed"), "digits", codecs.pointer_of(F.col("digits")).alias("p")).select("key", "prefixed", "digits", "p.*")
 
 
+def codec_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and numbers encoded and decoded again, also with the last byte cut off and with bytes that go on too long."""
+    rows = load(spark, sf_dir, "sst").where("key IS NOT NULL AND seq IS NOT NULL").select("key", "seq").distinct()
+    digits = F.concat(codecs.prefixed_hex(F.col("key")), codecs.varint_hex(F.col("seq"), 9))
+    rows = rows.withColumn("digits", digits).withColumn("k", codecs.unprefixed_hex(F.col("digits")))
+    number = lambda d, most=10: codecs.unvarint_hex(d, most)["value"]
+    cut = codecs.unprefixed_hex(F.expr("left(digits, 2 * octet_length(key))"))
+    overlong = number(F.concat(F.lit("80" * 4), codecs.varint_hex(F.col("seq"), 9)), 4)
+    return rows.select("key", "seq", F.col("k.text").alias("text"), number(F.col("k.rest")).alias("number"), cut.isNull().alias("cut_fails"), overlong.isNull().alias("overlong_fails"))
+
+
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the files of the log table are called, their size and records, from the scan's own metadata."""
     rows = load(spark, sf_dir, "wal").select("_metadata.file_name", "_metadata.file_size")
@@ -367,7 +400,7 @@ QUERIES = {
         wal_replay_state, wal_next_seq, crc32c_records, wal_file_round_trip, memtable_runs, memtable_usage, flush_l0, sst_manifest, manifest_round_trip,
         sst_sorted, sst_round_trip, sparse_index, sparse_lookup, bloom_semi, bloom_fpr, layered_get, compact_overlap_inputs, compact_merge,
         compact_tombstone_drop, compact_split, compaction_policy, compact_range, state_after_compaction, state_after_replay, gc_segment_ratio,
-        gc_candidate, gc_rewrite, state_after_gc, db_stats, protocol_parse, protocol_reply, cli_reply, codec_varint, codec_fixed,
+        gc_candidate, gc_refused, crc32c_values, codec_decode, gc_rewrite, state_after_gc, db_stats, protocol_parse, protocol_reply, cli_reply, codec_varint, codec_fixed,
         codec_pointer, crc32c_keys, file_names, file_sizes, stream_latest_state,
     )
 }

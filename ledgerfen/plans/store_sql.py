@@ -116,6 +116,45 @@ _KEY_BYTES = "[('0x' || substr(hex(encode(key)), 2 * i + 1, 2))::BIGINT for i in
 _BODY = f"""(list_concat({_le("len", 4)}, [vtype::BIGINT], {_le("seq", 8)}, {_le("octet_length(encode(key))", 4)}, {_KEY_BYTES},
     CASE WHEN vtype = 1 THEN list_concat({_le("file_id", 4)}, {_le('"offset"', 8)}, {_le("value_size", 4)}) ELSE [] END))::UBIGINT[]"""
 
+_VALUE_BYTES = _KEY_BYTES.replace("key", "value")
+_VALUE_BODY = f"""(list_concat([vtype::BIGINT], {_le("octet_length(encode(key))", 4)}, {_KEY_BYTES}, {_le("octet_length(encode(value))", 4)}, {_VALUE_BYTES}))::UBIGINT[]"""
+
+_M = "4294967295::UBIGINT"
+
+
+def _rotl(x: str, n: int) -> str:
+    return f"((({x}) << {n}) & {_M}) | (({x}) >> {32 - n})"
+
+
+def _scrambled(k: str) -> str:
+    return f"((({_rotl(f'(({k}) * 3432918353::UBIGINT) & {_M}', 15)}) * 461845907::UBIGINT) & {_M})"
+
+
+def _mixed(h: str) -> str:
+    a = f"xor({h}, ({h}) >> 16)"
+    return f"list_reduce([{a}, 2246822507::UBIGINT, 3266489909::UBIGINT], lambda x, c: CASE WHEN c = 2246822507::UBIGINT THEN xor((x * c) & {_M}, ((x * c) & {_M}) >> 13) ELSE xor((x * c) & {_M}, ((x * c) & {_M}) >> 16) END)"
+
+
+def _murmur(seed: int) -> str:
+    """The 32-bit hash of a list ``b`` of bytes: whole blocks, then the rest, then the final mixing."""
+    block = "b[4 * i + 1] + (b[4 * i + 2] << 8) + (b[4 * i + 3] << 16) + (b[4 * i + 4] << 24)"
+    rest = "coalesce(b[4 * (len(b) // 4) + 1], 0) + (coalesce(CASE WHEN len(b) % 4 > 1 THEN b[4 * (len(b) // 4) + 2] END, 0) << 8) + (coalesce(CASE WHEN len(b) % 4 > 2 THEN b[4 * (len(b) // 4) + 3] END, 0) << 16)"
+    body = f"list_reduce([{seed}::UBIGINT] || [{_scrambled(block)} for i in range(len(b) // 4)], lambda h, k: (({_rotl('xor(h, k)', 13)}) * 5 + 3864292196::UBIGINT) & {_M})"
+    tail = f"CASE WHEN len(b) % 4 > 0 THEN {_scrambled(rest)} ELSE 0::UBIGINT END"
+    return _mixed(f"xor(xor({body}, {tail}), len(b)::UBIGINT)")
+
+
+_BLOOM = f"""own AS (SELECT DISTINCT db_id, sst_id, key FROM sst),
+    sized AS (SELECT db_id, sst_id, (ceil(greatest(64, 10 * count(key)) / 8) * 8)::UBIGINT AS m FROM own WHERE key IS NOT NULL GROUP BY ALL),
+    asked AS (SELECT db_id, sst_id, key, true AS mine FROM own UNION ALL SELECT db_id, sst_id, key || '#', false FROM own),
+    bytes AS (SELECT key, ({_KEY_BYTES})::UBIGINT[] AS b FROM (SELECT DISTINCT key FROM asked WHERE key IS NOT NULL)),
+    hashed AS (SELECT key, {_murmur(0xBC9F1D34)} AS h1, {_murmur(0xEF017832)} AS h2 FROM bytes),
+    bit AS (SELECT a.db_id, a.sst_id, a.key, a.mine, unnest([(h.h1 + i::UBIGINT * h.h2) % s.m for i in range(6)]) AS p
+      FROM asked a JOIN sized s ON a.db_id = s.db_id AND a.sst_id = s.sst_id JOIN hashed h ON a.key = h.key),
+    filled AS (SELECT DISTINCT db_id, sst_id, p FROM bit WHERE mine),
+    answer AS (SELECT b.db_id, b.sst_id, b.key, bool_and(f.p IS NOT NULL) AS maybe, bool_or(b.mine) AS mine
+      FROM bit b LEFT JOIN filled f ON f.db_id = b.db_id AND f.sst_id = b.sst_id AND f.p = b.p GROUP BY ALL)"""
+
 ORACLE = {
     "kv_latest_state": f"{_E} SELECT key, seq, value FROM last WHERE vtype = 1",
     "kv_latest_state_lines": f"{_L} SELECT key, seq, value FROM last WHERE vtype = 1",
@@ -134,10 +173,19 @@ ORACLE = {
         FROM we WINDOW w AS (PARTITION BY key ORDER BY seq)""",
     "vlog_layout": _rotation(_WE, "we WHERE vtype = 1"),
     "vlog_layout_large": _rotation("wd AS (SELECT doc_id + 1 AS seq, coalesce(lang, '') || '/' || coalesce(source, '') AS key, coalesce(text, '') AS value FROM documents)", "wd"),
-    "vlog_deref": f"""WITH {_CURRENT}, rec AS (SELECT * FROM vlog QUALIFY row_number() OVER (PARTITION BY db_id, file_id, "offset" ORDER BY arrived_at DESC, value DESC) = 1)
-        SELECT w.db_id, w.key, CASE WHEN r.db_id IS NULL THEN 'NotFound: No record' WHEN {_BYTES("r.value")} = w.value_size THEN 'OK' ELSE 'Corruption: Value size' END AS status,
-          CASE WHEN {_BYTES("r.value")} = w.value_size THEN r.value END AS value
-        FROM winner w LEFT JOIN rec r ON r.db_id = w.db_id AND r.file_id = w.file_id AND r."offset" = w."offset" WHERE w.vtype = 1""",
+    "vlog_deref": f"""WITH {_CURRENT}, {_CRC}, rec AS (SELECT * FROM vlog QUALIFY row_number() OVER (PARTITION BY db_id, file_id, "offset" ORDER BY arrived_at DESC, value DESC, crc DESC NULLS LAST) = 1),
+        summed AS (SELECT r.*, coalesce(crc <> {_crc(_VALUE_BODY)}, false) AS wrong FROM rec r, tab)
+        SELECT w.db_id, w.key, CASE WHEN r.db_id IS NULL THEN 'NotFound: No record' WHEN ({_BYTES("r.value")} = w.value_size) IS NOT TRUE THEN 'Corruption: Value size' WHEN r.wrong THEN 'Corruption: Checksum' ELSE 'OK' END AS status,
+          CASE WHEN {_BYTES("r.value")} = w.value_size AND NOT r.wrong THEN r.value END AS value
+        FROM winner w LEFT JOIN summed r ON r.db_id = w.db_id AND r.file_id = w.file_id AND r."offset" = w."offset" WHERE w.vtype = 1""",
+    "crc32c_values": f"""WITH {_CRC}, c AS (SELECT db_id, file_id, "offset", crc, {_crc(_VALUE_BODY)} AS computed FROM (SELECT DISTINCT db_id, file_id, "offset", crc, vtype, key, value FROM vlog WHERE value IS NOT NULL), tab)
+        SELECT DISTINCT *, crc = computed AS ok FROM c""",
+    "gc_refused": f"""WITH {_GARBAGE}, {_CRC},
+        rows AS (SELECT DISTINCT v.db_id, v.file_id, v."offset", v.crc, v.vtype, v.key, CASE WHEN v.db_id % 2 = 0 AND v."offset" % 3 = 0 THEN v.value || '!' ELSE v.value END AS value
+          FROM vlog v JOIN cand c ON c.db_id = v.db_id AND c.file_id = v.file_id WHERE c.due AND v.value IS NOT NULL),
+        bad AS (SELECT db_id, file_id, count(*) AS bad FROM (SELECT DISTINCT db_id, file_id, "offset", crc, {_crc(_VALUE_BODY)} AS computed FROM rows, tab) WHERE crc <> computed GROUP BY ALL)
+        SELECT c.db_id, c.file_id, coalesce(b.bad, 0) AS bad, b.bad IS NULL AS reclaimed FROM cand c LEFT JOIN bad b ON b.db_id = c.db_id AND b.file_id = c.file_id WHERE c.due""",
+    "codec_decode": """SELECT DISTINCT key, seq, key AS text, seq AS number, true AS cut_fails, true AS overlong_fails FROM sst WHERE key IS NOT NULL AND seq IS NOT NULL""",
     "wal_valid_prefix": f"WITH {_PREFIX} SELECT db_id, wal_id, rec_no, seq, key, vtype FROM good",
     "wal_replay_state": f"""WITH {_PREFIX} SELECT db_id, key, seq, wal_id, rec_no, file_id, "offset", value_size
         FROM (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY wal_id DESC, rec_no DESC) = 1) WHERE vtype = 1""",
@@ -153,14 +201,16 @@ ORACLE = {
         CAST(sum(length(key) + 26 + CASE WHEN pos % 16 = 0 THEN length(key) + 9 ELSE 0 END) + 4 + ceil(greatest(64, 10 * count(*)) / 8) + 48 AS BIGINT) AS file_size FROM flushed GROUP BY run_id""",
     "manifest_round_trip": f"""WITH {_LISTED} SELECT db_id, file_id, level, num_entries, coalesce(smallest_key, '') AS smallest_key, coalesce(largest_key, '') AS largest_key FROM listed l
         WHERE removed_at IS NULL AND EXISTS (SELECT 1 FROM sst s WHERE s.db_id = l.db_id AND s.sst_id = l.file_id)""",
-    "sst_sorted": "SELECT db_id, sst_id, CAST(0 AS BIGINT) AS bad FROM sst GROUP BY ALL",
+    "sst_sorted": """WITH e AS (SELECT DISTINCT db_id, sst_id, pos, key FROM sst), b AS (SELECT *, lag(key) OVER (PARTITION BY db_id, sst_id ORDER BY pos) AS before FROM e)
+        SELECT db_id, sst_id, count(*) FILTER (WHERE before > key) AS bad FROM b GROUP BY ALL""",
     "sst_round_trip": f"WITH {_CUR} SELECT db_id, sst_id, pos, key, seq FROM cur WHERE key BETWEEN 'order_' AND 'user'",
     "sparse_index": f"{_INDEX} SELECT * FROM idx",
     "sparse_lookup": f"""{_INDEX}, probe AS (SELECT DISTINCT db_id, sst_id, key || '!' AS key FROM sst UNION SELECT DISTINCT db_id, sst_id, '' FROM sst),
         lowest AS (SELECT db_id, sst_id, min({{'o': data_offset, 'e': block_end}}) AS b FROM idx GROUP BY ALL)
         SELECT p.db_id, p.sst_id, p.key, coalesce(i.data_offset, l.b.o) AS block, coalesce(i.block_end, l.b.e) AS block_end
         FROM probe p ASOF LEFT JOIN idx i ON p.db_id = i.db_id AND p.sst_id = i.sst_id AND p.key >= i.key JOIN lowest l ON l.db_id = p.db_id AND l.sst_id = p.sst_id""",
-    "bloom_semi": "SELECT db_id, sst_id, count(DISTINCT key) AS probes, count(DISTINCT key) AS maybe FROM sst GROUP BY ALL",
+    "bloom_semi": f"WITH {_BLOOM} SELECT db_id, sst_id, count(*) AS probes, count(*) FILTER (WHERE maybe) AS maybe FROM answer GROUP BY ALL",
+    "bloom_fpr": f"WITH {_BLOOM} SELECT db_id, count(*) AS probes, avg(maybe::INT::DOUBLE) AS false_positive_rate FROM answer WHERE NOT mine GROUP BY db_id",
     "layered_get": f"""WITH {_CUR} SELECT db_id, key, level, sst_id, seq, vtype FROM cur
         QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY level, CASE WHEN level = 0 THEN -sst_id ELSE sst_id END, pos) = 1""",
     "compact_overlap_inputs": f"WITH {_LISTED}, {_inputs(1)} SELECT * FROM input",
@@ -179,7 +229,7 @@ ORACLE = {
         SELECT g.db_id, g.level, coalesce(h.files, 0) AS files, CAST(coalesce(h.bytes, 0) AS BIGINT) AS bytes, CASE WHEN g.level > 0 THEN CAST(10485760 * pow(10, g.level - 1) AS BIGINT) END AS byte_limit,
           CASE WHEN g.level = 0 THEN coalesce(h.files, 0) >= 4 ELSE coalesce(h.bytes, 0) > 10485760 * pow(10, g.level - 1) END AS due
         FROM grid g LEFT JOIN have h ON h.db_id = g.db_id AND h.level = g.level""",
-    "compact_range": f"WITH {_CUR} SELECT db_id, 6 AS level, key, seq FROM (SELECT * FROM cur QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY seq DESC) = 1) WHERE vtype = 1",
+    "compact_range": f"WITH {_CUR} SELECT db_id, 6 AS level, key, seq, vtype FROM (SELECT * FROM cur QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY seq DESC) = 1) WHERE vtype = 1",
     "state_after_compaction": f"WITH {_CUR} SELECT db_id, key, seq FROM (SELECT * FROM cur QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY seq DESC) = 1) WHERE vtype = 1",
     "state_after_replay": f"{_E} SELECT key, seq, coalesce(value, '') AS value FROM last WHERE vtype = 1",
     "gc_segment_ratio": f"WITH {_GARBAGE} SELECT * FROM ratio",

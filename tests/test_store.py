@@ -259,7 +259,7 @@ def test_filters_miss_no_key_and_are_exact(spark):
     assert lsm.may_contain(blooms, df.where("key IS NOT NULL"), ["f"]).where("NOT maybe").count() == 0
     other = spark.createDataFrame([(1, f"other-{i}") for i in range(3000)], "f long, key string")
     assert lsm.may_contain(blooms, other, ["f"]).where("maybe").count() < 90
-    bits = {r.f: bytes(r.bits) for r in blooms.collect()}
+    bits = {r.f: bytes(r.bits) for r in lsm.bloom_bytes(blooms, ["f"]).collect()}
     assert len(bits[1]) == 625 and len(bits[2]) == 8
     expected = bytearray(8)
     h1, h2 = (int(codecs.murmur3([b""], s)[0]) for s in codecs.BLOOM_SEEDS)
@@ -316,10 +316,41 @@ def test_torn_file_on_disk(spark, tmp_path):
     assert spark.read.format("kvwal").load(str(empty)).count() == 0
 
 
+def test_log_files_keep_bytes_and_refuse_to_overwrite(spark, tmp_path):
+    logfiles.register(spark)
+    path = str(tmp_path / "logs")
+    one = spark.createDataFrame([(1, 1, bytearray(b"\xff"), 1, 1, 0, 1), (1, 2, bytearray(b"\xfe"), 2, None, None, None)], "wal_id long, seq long, key binary, vtype int, file_id long, offset long, value_size long")
+    write = lambda df, mode: df.sortWithinPartitions("wal_id", "seq").write.format("kvwal").mode(mode).save(path)
+    write(one.repartition("wal_id"), "append")
+    keys = lambda: sorted(bytes(r.key) for r in spark.read.format("kvwal").option("bytes", "true").load(path).collect())
+    assert keys() == [b"\xfe", b"\xff"]
+    with pytest.raises(Exception, match="no text"):
+        spark.read.format("kvwal").load(path).collect()
+    with pytest.raises(Exception, match="wal_00001.log"):
+        write(one.repartition("wal_id").where("seq = 1"), "append")
+    with pytest.raises(Exception, match="several tasks"):
+        write(one.withColumn("wal_id", F.lit(7).cast("long")).repartition(2, "seq"), "append")
+    assert keys() == [b"\xfe", b"\xff"] and sorted(x.name for x in tmp_path.glob("logs/*")) == ["wal_00001.log"]
+    write(one.repartition("wal_id").where("seq = 1"), "overwrite")
+    assert keys() == [b"\xff"]
+    for path in ("hdfs://host/logs", "s3a://bucket/logs"):
+        with pytest.raises(Exception, match="operating system"):
+            write(one, "append")
+    assert not os.path.exists("hdfs:")
+
+
 def test_deref(spark):
     vlog = spark.createDataFrame([(1, 1, 0, 0, None, 1, "k", "abc", at(1)), (1, 1, 0, 0, None, 1, "k", "abc", at(1))], VLOG)
-    pointers = spark.createDataFrame([(1, "a", 1, 0, 3), (1, "b", 1, 0, 2), (1, "c", 1, 9, 3), (1, "d", None, None, None)], "db_id long, key string, file_id long, offset long, value_size long")
-    assert rows(logs.deref(pointers, vlog)) == [(1, "a", "OK", "abc"), (1, "b", "Corruption: Value size", None), (1, "c", "NotFound: No record", None), (1, "d", "NotFound: No record", None)]
+    pointers = spark.createDataFrame([(1, "a", 1, 0, 3), (1, "b", 1, 0, 2), (1, "c", 1, 9, 3), (1, "d", None, None, None), (1, "e", 2, 0, 3), (1, "f", 2, 50, 1)], "db_id long, key string, file_id long, offset long, value_size long")
+    right = int(codecs.crc32c([logfiles.vlog_record(1, b"k", b"abc")[4:]])[0])
+    vlog = vlog.union(spark.createDataFrame([(1, 2, 0, 0, right, 1, "k", "abc", at(1)), (1, 2, 50, 0, right, 1, "k", "x", at(1))], VLOG))
+    assert rows(logs.deref(pointers, vlog)) == [
+        (1, "a", "OK", "abc"), (1, "b", "Corruption: Value size", None), (1, "c", "NotFound: No record", None), (1, "d", "NotFound: No record", None), (1, "e", "OK", "abc"), (1, "f", "Corruption: Checksum", None),
+    ]
+    assert rows(logs.checked_values(vlog).select("file_id", "offset", "ok").distinct()) == [(1, 0, None), (2, 0, True), (2, 50, False)]
+    due = spark.createDataFrame([(1, 1, 0.9, True), (1, 2, 0.9, True)], "db_id long, file_id long, ratio double, due boolean")
+    broken = reclaim.damaged(vlog, due)
+    assert rows(broken) == [(1, 2, 1)] and rows(reclaim.safe(due, broken).select("file_id")) == [(1,)]
 
 
 def test_listing_survives_any_key(spark):
@@ -374,10 +405,28 @@ def test_cli_replies(spark):
 
 def test_known_values():
     assert codecs.crc32c([b"123456789", b"", b"a"]).tolist()[:2] == [0xE3069283, 0]
-    assert logfiles._sum(b"123456789") == 0xE3069283
+    rng = random.Random(6)
+    for size in (255, 256, 257, 700, 5000):  # pieces against a byte at a time
+        value, crc = rng.randbytes(size), 0xFFFFFFFF
+        for b in value:
+            crc = int(codecs._TABLE[(crc ^ b) & 255]) ^ (crc >> 8)
+        assert codecs.crc32c([b"x", value, b""]).tolist()[1] == crc ^ 0xFFFFFFFF
     assert codecs.murmur3([b"test", b"Hello, world!"], 0).tolist() == [0xBA6BD213, 0xC0363E43]
 
 
+def test_decoders(spark):
+    values = [0, 127, 128, 16383, 16384, 2**31, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("d", codecs.varint_hex(F.col("v"), 9))
+    got = df.select("v", codecs.unvarint_hex(F.concat("d", F.lit("FF"))).alias("p"), codecs.unvarint_hex(F.expr("left(d, length(d) - 2)")).alias("cut")).collect()
+    assert all(r.p.value == r.v for r in got) and all(r.cut is None for r in got)
+    odd = spark.createDataFrame([("808080808001",), ("FF" * 10,), ("FFFFFFFFFFFFFFFFFF01",), ("",), (None,)], "d string")
+    assert [r.p for r in odd.select(codecs.unvarint_hex(F.col("d"), 5).alias("p")).collect()] == [None] * 5
+    assert [r.p and r.p.value for r in odd.select(codecs.unvarint_hex(F.col("d")).alias("p")).collect()] == [2**35, None, -1, None, None]
+    texts = spark.createDataFrame([("",), ("é",), ("x" * 200,)], "k string").withColumn("d", codecs.prefixed_hex(F.col("k")))
+    back = texts.select("k", codecs.unprefixed_hex(F.concat("d", F.lit("AB"))).alias("p"), codecs.unprefixed_hex(F.expr("left(d, length(d) - 2)")).alias("cut")).collect()
+    assert all(tuple(r.p) == (r.k, "AB") and r.cut is None for r in back)
+
+
 def test_codecs(spark):
     values = [0, 1, 127, 128, 16383, 16384, 2**31, 2**62, 2**63 - 1, -1, None]
     df = spark.createDataFrame([(v,) for v in values], "v long")
