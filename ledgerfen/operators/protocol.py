@@ -1,4 +1,7 @@
-"""The two line protocols: commands are parsed into columns and answered as a batch, in the order of their lines."""
+"""The two line protocols: commands are parsed into columns and answered as a batch, in the order of their lines.
+
+The replies are fixed values of the protocols.
+"""
 
 from __future__ import annotations
 
@@ -40,23 +43,27 @@ def server_replies(commands: DataFrame, stats: str = "") -> DataFrame:
 def cli_replies(commands: DataFrame, stats: str = "", help_text: str = "") -> DataFrame:
     """(line_no, reply) of the shell's commands put, get, delete, stats, compact, gc and help, up to the first exit or quit.
 
-    Empty lines and exit have no reply. A key must be there; a missing value is the empty one.
+    Empty lines and exit have no reply. A key must be there; a missing value is the empty one. Compaction and reclaiming change
+    nothing that can be seen. The statistics are ``stats`` after the next sequence number as of their line.
     """
     rows = parse(commands)
     last = rows.agg(F.min(F.when(F.col("verb").isin("exit", "quit"), F.col("line_no"))).alias("stop"))
     real = commands.where(F.coalesce(F.length("line"), F.lit(0)) > 0).select("line_no")
     rows = rows.join(real, "line_no", "left_semi").join(F.broadcast(last), F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")
-    keyed = rows.withColumn("verb", F.when(F.col("verb").isin("put", "delete") & (F.col("key") == ""), F.concat("verb", F.lit("!"))).otherwise(F.col("verb")))
-    rows = _seen(keyed, "put", "delete")
-    verb, key = F.col("verb"), F.col("key")
+    changes = F.col("verb").isin("put", "delete")
+    # a change without a key is none, so it has a verb that no line can have
+    rows = rows.withColumns({"typed": F.col("verb"), "verb": F.when(changes & (F.col("key") == ""), F.lit(" ")).otherwise(F.col("verb"))})
+    rows = running(rows.withColumn("_change", F.when(changes & (F.col("verb") != " "), 1)), [], ["line_no"], {"before": ("count", "_change")}).drop("_change")
+    rows = _seen(rows, "put", "delete")
+    verb, key = F.col("typed"), F.col("key")
     ask: Column = (
-        F.when(verb == "put!", "Error: put requires key and value")
-        .when(verb == "delete!", "Error: delete requires key")
+        F.when((verb == "put") & (key == ""), "Error: put requires key and value")
+        .when((verb == "delete") & (key == ""), "Error: delete requires key")
         .when((verb == "get") & (key == ""), "Error: get requires key")
         .when(verb.isin("put", "delete", "compact", "gc"), "OK")
         .when((verb == "get") & (F.col("found.vtype") == 1), F.col("found.v"))
         .when(verb == "get", "(nil)")
-        .when(verb == "stats", F.lit(stats))
+        .when(verb == "stats", F.concat(F.lit("sequence_number: "), (F.coalesce("before", F.lit(0)) + 1).cast("string"), F.lit(f"\n{stats}" if stats else "")))
         .when(verb == "help", F.lit(help_text))
         .otherwise(F.concat(F.lit("Unknown command: "), verb))
     )

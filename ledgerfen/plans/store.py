@@ -307,7 +307,7 @@ def state_after_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.db_stats(load(spark, sf_dir, "wal"), load(spark, sf_dir, "vlog"), load(spark, sf_dir, "manifest"))
+    return stats.db_stats(load(spark, sf_dir, "wal"), load(spark, sf_dir, "vlog"), load(spark, sf_dir, "manifest"), load(spark, sf_dir, "sst"))
 
 
 def _commands(spark: SparkSession, sf_dir: str, verbs: tuple[str, str, str, str]) -> DataFrame:
@@ -327,7 +327,11 @@ def protocol_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cli_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.cli_replies(_commands(spark, sf_dir, ("put", "get", "delete", "what")))
+    """The events as commands, with statistics, compaction and reclaiming among them and changes without a key."""
+    user = F.col("user_id")
+    events = load(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.when(user % 10 == 0, "stats").when(user % 10 == 1, "compact").when(user % 10 == 2, "gc").when(user % 50 == 3, "put").when(user % 50 == 13, "put! k v").alias("other"))
+    lines = _commands(spark, sf_dir, ("put", "get", "delete", "what")).join(events, "line_no")
+    return protocol.cli_replies(lines.select("line_no", F.coalesce("other", "line").alias("line")), "memtable_limit: 4194304")
 
 
 def codec_varint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,8 +93,8 @@ _PREFIX = f"""bad AS (SELECT db_id, wal_id, min(rec_no) AS first_torn FROM wal W
       WHERE b.first_torn IS NULL OR w.rec_no < b.first_torn)"""
 
 
-def _commands(put: str, get: str, delete: str, other: str) -> str:
-    return f"""cmd AS (SELECT event_id AS line_no, CASE event_type WHEN 'purchase' THEN '{put}' WHEN 'error' THEN '{delete}' WHEN 'signup' THEN '{other}' ELSE '{get}' END AS verb,
+def _commands(put: str, get: str, delete: str, other: str, instead: str = "NULL") -> str:
+    return f"""cmd AS (SELECT event_id AS line_no, coalesce({instead}, CASE event_type WHEN 'purchase' THEN '{put}' WHEN 'error' THEN '{delete}' WHEN 'signup' THEN '{other}' ELSE '{get}' END) AS verb,
         'user_' || user_id AS key, CASE WHEN event_type = 'purchase' THEN regexp_extract(trim(props), '^\\S+') ELSE '' END AS value FROM events),
     asked AS (SELECT *, last_value(CASE WHEN verb IN ('{put}', '{delete}') THEN {{'verb': verb, 'value': value}} END IGNORE NULLS)
         OVER (PARTITION BY key ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM cmd)"""
@@ -239,18 +239,28 @@ ORACLE = {
         FROM winner w LEFT JOIN moved m ON m.db_id = w.db_id AND m.key = w.key AND m.file_id = w.file_id AND m."offset" = w."offset" WHERE w.vtype = 1""",
     "db_stats": f"""WITH {_LISTED}, dbs AS (SELECT DISTINCT db_id FROM wal UNION SELECT db_id FROM vlog UNION SELECT db_id FROM manifest),
         seqs AS (SELECT db_id, max(seq) + 1 AS v FROM wal WHERE {_READABLE} GROUP BY 1),
-        logs AS (SELECT db_id, count(DISTINCT key) AS v FROM wal WHERE {_READABLE} GROUP BY db_id, wal_id QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY wal_id DESC) = 1),
+        every AS (SELECT db_id, wal_id, count(DISTINCT key) AS v, max(seq) AS top, max(wal_id) OVER (PARTITION BY db_id) AS last_log FROM wal WHERE {_READABLE} GROUP BY db_id, wal_id),
+        charged AS (SELECT db_id, wal_id, sum({_BYTES("key")} + 88) AS bytes FROM (SELECT DISTINCT db_id, wal_id, key FROM wal WHERE {_READABLE}) GROUP BY ALL),
+        logs AS (SELECT e.*, c.bytes FROM every e JOIN charged c USING (db_id, wal_id) WHERE wal_id = last_log),
+        flushed AS (SELECT s.db_id, max(s.seq) AS top FROM sst s JOIN listed l ON s.db_id = l.db_id AND s.sst_id = l.file_id WHERE l.removed_at IS NULL GROUP BY ALL),
+        waiting AS (SELECT e.db_id, count(*) AS v FROM every e LEFT JOIN flushed f USING (db_id) WHERE e.wal_id < e.last_log AND e.top > coalesce(f.top, -1) GROUP BY ALL),
         ends AS (SELECT db_id, file_id, "offset" + {_BYTES("key")} + {_BYTES("value")} + 13 AS e FROM vlog QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY file_id DESC, e DESC) = 1)
         SELECT db_id, 'sequence_number' AS metric, CAST(coalesce(v, 1) AS BIGINT) AS value FROM dbs LEFT JOIN seqs USING (db_id)
         UNION ALL SELECT db_id, 'active_memtable_count', coalesce(v, 0) FROM dbs LEFT JOIN logs USING (db_id)
+        UNION ALL SELECT db_id, 'active_memtable_bytes', CAST(coalesce(bytes, 0) AS BIGINT) FROM dbs LEFT JOIN logs USING (db_id)
+        UNION ALL SELECT db_id, 'immutable_memtables', coalesce(v, 0) FROM dbs LEFT JOIN waiting USING (db_id)
+        UNION ALL SELECT db_id, 'memtable_limit', 4194304 FROM dbs
         UNION ALL SELECT db_id, 'vlog_file_id', coalesce(file_id, 1) FROM dbs LEFT JOIN ends USING (db_id)
         UNION ALL SELECT db_id, 'vlog_offset', coalesce(e, 0) FROM dbs LEFT JOIN ends USING (db_id)
         UNION ALL SELECT d.db_id, 'level_' || v || '_sstables', count(l.file_id) FROM dbs d CROSS JOIN range(7) r(v) LEFT JOIN listed l ON l.db_id = d.db_id AND l.level = v AND l.removed_at IS NULL GROUP BY d.db_id, v""",
     "protocol_parse": f"WITH {_commands('PUT', 'GET', 'DEL', 'PING')} SELECT line_no, verb, key, value FROM cmd",
     "protocol_reply": f"""WITH {_commands("PUT", "GET", "DEL", "PING")} SELECT line_no, CASE WHEN verb = 'PING' THEN '+PONG' || chr(13) || chr(10) WHEN verb IN ('PUT', 'DEL') THEN '+OK' || chr(13) || chr(10)
         WHEN found.verb = 'PUT' THEN '$' || {_BYTES("found.value")} || chr(13) || chr(10) || found.value || chr(13) || chr(10) ELSE '$-1' || chr(13) || chr(10) END AS reply FROM asked""",
-    "cli_reply": f"""WITH {_commands("put", "get", "delete", "what")} SELECT line_no, CASE WHEN verb IN ('put', 'delete') THEN 'OK' WHEN verb = 'what' THEN 'Unknown command: what'
-        WHEN found.verb = 'put' THEN found.value ELSE '(nil)' END AS reply FROM asked""",
+    "cli_reply": f"""WITH {_commands("put", "get", "delete", "what", "CASE WHEN user_id % 10 = 0 THEN 'stats' WHEN user_id % 10 = 1 THEN 'compact' WHEN user_id % 10 = 2 THEN 'gc' WHEN user_id % 50 = 3 THEN 'put ' WHEN user_id % 50 = 13 THEN 'put!' END")},
+        counted AS (SELECT *, count(*) FILTER (WHERE verb IN ('put', 'delete')) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM asked)
+        SELECT line_no, CASE WHEN verb = 'put ' THEN 'Error: put requires key and value' WHEN verb = 'put!' THEN 'Unknown command: put!' WHEN verb IN ('put', 'delete', 'compact', 'gc') THEN 'OK'
+          WHEN verb = 'stats' THEN 'sequence_number: ' || (before + 1) || chr(10) || 'memtable_limit: 4194304' WHEN verb = 'what' THEN 'Unknown command: what'
+          WHEN found.verb = 'put' THEN found.value ELSE '(nil)' END AS reply FROM counted""",
     "codec_varint": """WITH x AS (SELECT l_orderkey, l_partkey, l_orderkey * l_partkey AS v FROM lineitem), n AS (SELECT *, greatest(1, ceil(length(ltrim(bin(v), '0')) / 7))::INT AS bytes FROM x)
         SELECT l_orderkey, l_partkey, bytes, array_to_string([format('{:02X}', ((v >> (7 * i)) & 127) + CASE WHEN i + 1 < bytes THEN 128 ELSE 0 END) for i in range(bytes)], '') AS digits FROM n""",
     "codec_fixed": """SELECT o_orderkey, array_to_string([format('{:02X}', ((o_orderkey * 7) >> (8 * i)) & 255) for i in range(4)], '') AS digits,

@@ -397,10 +397,10 @@ def test_server_replies(spark):
 
 
 def test_cli_replies(spark):
-    lines = ["put k v w", "get k", "get", "put", "delete", "", "delete k", "get k", "compact", "gc", "stats", "help", "nope x", "exit", "get k"]
+    lines = ["put k v w", "get k", "get", "put", "delete", "", "delete k", "get k", "compact", "gc", "stats", "help", "nope x", "put! k v", "exit", "get k"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
     got = [r.reply for r in protocol.cli_replies(df, "S", "H").orderBy("line_no").collect()]
-    assert got == ["OK", "v", "Error: get requires key", "Error: put requires key and value", "Error: delete requires key", "OK", "(nil)", "OK", "OK", "S", "H", "Unknown command: nope"]
+    assert got == ["OK", "v", "Error: get requires key", "Error: put requires key and value", "Error: delete requires key", "OK", "(nil)", "OK", "OK", "sequence_number: 3\nS", "H", "Unknown command: nope", "Unknown command: put!"]
 
 
 def test_known_values():
