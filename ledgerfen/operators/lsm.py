@@ -12,6 +12,7 @@ from ..functions.codecs import bloom_bits, bloom_h1, bloom_h2, bloom_hashes, blo
 from ..session import if_small, materialize
 from .folds import split_outputs
 from .kvlog import DELETE, POINTER, latest_listing
+from .ordered import running
 from .small_files import entry_bytes, true_sizes
 from .state import latest
 
@@ -57,17 +58,16 @@ def _offsets(sst: DataFrame) -> DataFrame:
 
 def sparse_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(db_id, sst_id, key, block, block_end) of probes (db_id, sst_id, key): the block of the greatest index key not above the
-    probe's, the first block for probes below all. Backward as-of look-up: index and probes of a file are sorted together.
+    probe's, the first block for probes below all. Backward as-of look-up: index and probes are sorted together, in ranges that
+    split a file that is asked for most.
 
     Probes of files without an index aren't answered. Of two blocks with the same first key the later one is taken.
     """
     marks = index.select("db_id", "sst_id", "key", F.lit(0).alias("probe"), F.struct("data_offset", "block_end").alias("block"))
     asked = probes.select("db_id", "sst_id", "key").distinct().select("db_id", "sst_id", "key", F.lit(1).alias("probe"), F.lit(None).cast("struct<data_offset:bigint,block_end:bigint>").alias("block"))
-    file = W.partitionBy("db_id", "sst_id").orderBy("key", "probe", "block")
-    both = marks.unionByName(asked)
-    at = F.last("block", ignorenulls=True).over(file.rowsBetween(W.unboundedPreceding, 0))
-    first = F.min("block").over(W.partitionBy("db_id", "sst_id"))
-    found = both.withColumns({"at": at, "first": first}).where("probe = 1 AND first IS NOT NULL")
+    both = running(marks.unionByName(asked), ["db_id", "sst_id"], ["key", "probe", "block"], {"at": ("last", "block")}, inclusive=True)
+    first = index.groupBy(F.col("db_id").alias("_db"), F.col("sst_id").alias("_file")).agg(F.min(F.struct("data_offset", "block_end")).alias("first"))
+    found = both.where("probe = 1").join(first, (F.col("db_id") == F.col("_db")) & (F.col("sst_id") == F.col("_file")))
     block = F.coalesce("at", "first")
     return found.select("db_id", "sst_id", "key", block["data_offset"].alias("block"), block["block_end"].alias("block_end"))
 
@@ -132,6 +132,17 @@ def layered_get(entries: DataFrame) -> DataFrame:
     return entries.groupBy("db_id", "key").agg(first).select("db_id", "key", "r.level", "r.sst_id", "r.seq", "r.vtype")
 
 
+def memtable_get(runs: DataFrame, immutable: int = 3) -> DataFrame:
+    """(shard, key, layer, run_id, seq, vtype) of the first layer that has a key, of ``folds.memtable_runs``: the open memtable, the
+    ``immutable`` ones before it, newest first, then the tables of the runs flushed."""
+    newest = runs.groupBy(F.col("shard").alias("_shard")).agg(F.max("run_id").alias("open"))
+    last = latest(runs, ["shard", "key"], ["seq", "vtype"], "run_id")
+    rows = last.join(newest, F.col("shard") == F.col("_shard"))
+    age = F.col("open") - F.col("run_id")
+    layer = F.when(age == 0, "memtable").when(age <= immutable, "immutable").otherwise("table")
+    return rows.select("shard", "key", layer.alias("layer"), "run_id", "seq", "vtype")
+
+
 def overlap(files: DataFrame, level: int) -> DataFrame:
     """(db_id, file_id, level) of what a compaction of ``level`` reads: its files, and those of the next level that touch the
     hull of their keys, also in gaps between them. The hulls are one row a database."""

@@ -203,6 +203,10 @@ def layered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.layered_get(_current(spark, sf_dir))
 
 
+def memtable_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.memtable_get(_runs(spark, sf_dir)).drop("shard")
+
+
 # compaction
 
 
@@ -402,7 +406,7 @@ QUERIES = {
         kv_latest_state, kv_latest_state_lines, kv_snapshot, kv_point_get, kv_multi_get, kv_put_delete_batch, kv_range_scan, kv_prefix_scan,
         kv_reverse_scan, kv_seek, kv_tombstones, kv_version_history, vlog_layout, vlog_layout_large, vlog_deref, wal_valid_prefix,
         wal_replay_state, wal_next_seq, crc32c_records, wal_file_round_trip, memtable_runs, memtable_usage, flush_l0, sst_manifest, manifest_round_trip,
-        sst_sorted, sst_round_trip, sparse_index, sparse_lookup, bloom_semi, bloom_fpr, layered_get, compact_overlap_inputs, compact_merge,
+        sst_sorted, sst_round_trip, sparse_index, sparse_lookup, bloom_semi, bloom_fpr, layered_get, memtable_get, compact_overlap_inputs, compact_merge,
         compact_tombstone_drop, compact_split, compaction_policy, compact_range, state_after_compaction, state_after_replay, gc_segment_ratio,
         gc_candidate, gc_refused, crc32c_values, codec_decode, gc_rewrite, state_after_gc, db_stats, protocol_parse, protocol_reply, cli_reply, codec_varint, codec_fixed,
         codec_pointer, crc32c_keys, file_names, file_sizes, stream_latest_state,

@@ -213,6 +213,8 @@ ORACLE = {
     "bloom_fpr": f"WITH {_BLOOM} SELECT db_id, count(*) AS probes, avg(maybe::INT::DOUBLE) AS false_positive_rate FROM answer WHERE NOT mine GROUP BY db_id",
     "layered_get": f"""WITH {_CUR} SELECT db_id, key, level, sst_id, seq, vtype FROM cur
         QUALIFY row_number() OVER (PARTITION BY db_id, key ORDER BY level, CASE WHEN level = 0 THEN -sst_id ELSE sst_id END, pos) = 1""",
+    "memtable_get": f"""{_RUNS} SELECT key, CASE WHEN run_id = top THEN 'memtable' WHEN top - run_id <= 3 THEN 'immutable' ELSE 'table' END AS layer, run_id, seq, vtype
+        FROM (SELECT *, max(run_id) OVER () AS top FROM flushed) QUALIFY row_number() OVER (PARTITION BY key ORDER BY run_id DESC) = 1""",
     "compact_overlap_inputs": f"WITH {_LISTED}, {_inputs(1)} SELECT * FROM input",
     "compact_merge": f'{_MERGED} SELECT db_id, key, seq, vtype, file_id, "offset", value_size FROM merged WHERE NOT dropped',
     "compact_tombstone_drop": f"{_MERGED} SELECT db_id, key, seq FROM merged WHERE dropped",

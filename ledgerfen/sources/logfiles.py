@@ -1,7 +1,7 @@
 """Log files in their byte format, as Spark data sources: ``kvwal`` and ``kvvlog``.
 
 A record is a checksum, its kind and lengths, little-endian, and its bytes. Reading stops at the first record of a file that is
-cut off or whose checksum is wrong, as recovery does; a file is a partition. Files are read and written through the operating
+cut off or whose checksum is wrong, as recovery does; small files share a partition. Files are read and written through the operating
 system, so on a cluster the path must be a mounted shared folder; paths of other file systems are refused.
 
 Keys and values are texts; with the option ``bytes`` set to true they are binary, as they stand in the files. Without it, bytes
@@ -155,19 +155,31 @@ def _local(path: str) -> str:
     return unquote(urlparse(path).path) if scheme else path
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, number: int) -> None:
-        self.path, self.number = path, number
+#: Bytes of files that a partition of a scan has, about; a file is never split.
+_PART_BYTES = 64 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, int]]) -> None:
+        self.files = files
 
 
 class _Reader(DataSourceReader):
     def __init__(self, kind: str, path: str, as_bytes: bool) -> None:
         self.kind, self.path, self.as_bytes = kind, _local(path), as_bytes
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Files]:
         prefix = "wal_" if self.kind == "wal" else "vlog_"
         names = sorted(x for x in os.listdir(self.path) if x.startswith(prefix) and file_number(x) is not None)
-        return [_File(os.path.join(self.path, x), file_number(x)) for x in names] or [_File("", 0)]
+        parts, size = [[]], 0
+        for x in names:
+            at = os.path.join(self.path, x)
+            if size >= _PART_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append((at, file_number(x)))
+            size += os.path.getsize(at)
+        return [_Files(p) for p in parts]
 
     def _texts(self, values: list[bytes]) -> pa.Array:
         if self.as_bytes:
@@ -177,10 +189,12 @@ class _Reader(DataSourceReader):
         except UnicodeDecodeError as e:
             raise ValueError("there are bytes that are no text; read with the option bytes set to true") from e
 
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        with open(part.path, "rb") as f:
+    def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        for path, number in part.files:
+            yield from self._batches(path, number)
+
+    def _batches(self, path: str, own: int) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
             data = f.read()  # a file is bounded by the size at which logs are rotated
         number = lambda values, kind=pa.int64(): pa.array(values, kind)
         before = 0
@@ -188,7 +202,7 @@ class _Reader(DataSourceReader):
             if not rows:
                 continue
             cols = list(zip(*rows))
-            first = number([part.number] * len(rows))
+            first = number([own] * len(rows))
             if self.kind == "wal":
                 places = [number(range(before + 1, before + len(rows) + 1)), number(cols[0], pa.int32()), number(cols[1]), self._texts(cols[2])]
                 arrays = [first, *places, *(number([p[i] for p in cols[3]]) for i in range(3))]

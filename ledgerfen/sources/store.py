@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Commits
+
 
 def write_sorted(entries: DataFrame, path: str, files: int, key: str = "key") -> None:
     """Entries in ``files`` files of disjoint key ranges, sorted, with minima, maxima and a Bloom filter of the keys for each."""
@@ -43,19 +47,24 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     return rows.select("db_id", number(0).alias("file_id"), number(1).cast("int").alias("level"), number(2).alias("num_entries"), back(F.col("p")[3]).alias("smallest_key"), back(F.col("p")[4]).alias("largest_key"))
 
 
-def save_manifest(listing: DataFrame, path: str) -> None:
-    """The listing as text files under ``path``, which appears at once: it is written beside and renamed."""
-    spark = listing.sparkSession
-    tmp = f"{path}.tmp"
-    manifest_lines(listing).write.mode("overwrite").partitionBy("db_id").text(tmp)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(tmp), p(path)):
-        raise OSError(f"{tmp} can't be renamed to {path}")
+def save_manifest(listing: DataFrame, path: str) -> int:
+    """The listing as text files under ``path``; the number of its version.
+
+    It is written to a folder of its own, which a commit then names, so readers see the old listing or the new one, whatever
+    fails. Of two writers at once one is refused.
+    """
+    commits = Commits(listing.sparkSession, f"{path}/versions")
+    last, folder = commits.last(), f"listing-{uuid.uuid4().hex}"
+    manifest_lines(listing).write.partitionBy("db_id").text(f"{path}/{folder}")
+    commits.create(last + 1, {"folder": folder})
+    return last + 1
 
 
 def load_manifest(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
     """The listing under ``path``; files that aren't in ``existing`` (db_id, file_id), when given, are skipped."""
-    rows = parse_manifest(spark.read.schema("value string, db_id bigint").text(path).withColumnRenamed("value", "line"))
+    commits = Commits(spark, f"{path}/versions")
+    if not commits.last():
+        raise FileNotFoundError(f"{path} has no listing")
+    at = f"{path}/{commits.read(commits.last())['folder']}"
+    rows = parse_manifest(spark.read.schema("value string, db_id bigint").text(at).withColumnRenamed("value", "line"))
     return rows if existing is None else rows.join(existing.select("db_id", "file_id").distinct(), ["db_id", "file_id"], "left_semi")
