@@ -208,7 +208,8 @@ def test_a_late_content_is_handed_over_as_itself(spark):
     assert rows(ledger.run(_contents(spark, [*both, (1, "late", 1), (1, "third", 0)])).select("key", "version")) == [("third", 2)]
 
 
-def test_only_blocks_that_changed_are_written(spark):
+def test_only_blocks_that_changed_are_written(spark, monkeypatch):
+    monkeypatch.setattr(increments, "MERGE_RUNS", 4)
     ledger = increments.IntervalLedger(spark, scratch(spark, "ledger"))
     data = [(s, "x", 1) for s in range(1, 9000, 100)]
     ledger.run(_contents(spark, data))
