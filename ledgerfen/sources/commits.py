@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -14,6 +15,19 @@ class Taken(RuntimeError):
     """Another writer has made this commit."""
 
 
+def give_name(beside: str, name: str) -> None:
+    """Gives a whole file a second name; FileExistsError when there is such a file."""
+    try:
+        os.link(beside, name)
+    except FileExistsError:
+        raise
+    except OSError:  # no second names in this folder
+        with open(beside, "rb") as whole, open(name, "xb") as out:
+            shutil.copyfileobj(whole, out)
+            out.flush()
+            os.fsync(out.fileno())
+
+
 class Commits:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.path, self._jvm, self._gateway = path, spark._jvm, spark.sparkContext._gateway
@@ -53,14 +67,17 @@ class Commits:
 
     @staticmethod
     def _link(beside: str, name: str, text: str) -> bool:
-        """In a folder of the operating system a second name is given, which fails when it is in use."""
+        """In a folder of the operating system a second name is given, which fails when it is in use.
+
+        Where a mounted folder has no second names, the file is created under its name, which only one writer can do.
+        """
         beside, name = (unquote(urlparse(x).path) if x.startswith("file:") else x for x in (beside, name))
         with open(beside, "w") as out:
             out.write(text)
             out.flush()
             os.fsync(out.fileno())
         try:
-            os.link(beside, name)
+            give_name(beside, name)
             return True
         except FileExistsError:
             return False

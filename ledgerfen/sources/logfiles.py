@@ -23,6 +23,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.codecs import crc32c
+from .commits import give_name
 
 WAL_SCHEMA = "wal_id bigint, rec_no bigint, vtype int, seq bigint, key string, file_id bigint, offset bigint, value_size bigint"
 VLOG_SCHEMA = "file_id bigint, offset bigint, rec_size bigint, crc bigint, vtype int, key string, value string"
@@ -274,7 +275,7 @@ class _Writer(DataSourceWriter):
                     os.unlink(os.path.join(self.path, old))
             for n, tmp in files:
                 name = os.path.join(self.path, file_name(self.kind, n))
-                os.link(tmp, name)  # fails when there is such a file
+                give_name(tmp, name)  # fails when there is such a file
                 done.append(name)
         except Exception:
             for name in done:

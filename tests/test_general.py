@@ -127,7 +127,7 @@ def test_many_versions_and_expired_folders(spark):
     assert {r.key for r in store.read().collect()} == {"k17"}
 
 
-def test_a_commit_appears_whole_or_not_at_all(spark):
+def test_a_commit_appears_whole_or_not_at_all(spark, monkeypatch):
     from ledgerfen.sources.commits import Commits, Taken
 
     commits = Commits(spark, scratch(spark, "commits"))
@@ -136,9 +136,15 @@ def test_a_commit_appears_whole_or_not_at_all(spark):
         commits.create(1, {"a": 2})
     folder = commits.path.removeprefix("file://")
     assert commits.read(1) == {"a": 1} and [x for x in os.listdir(folder) if not x.endswith(".crc")] == ["000000000001"]
+    # a folder without second names
+    monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(PermissionError("no links")))
+    commits.create(3, {"c": 3})
+    with pytest.raises(Taken):
+        commits.create(3, {"c": 4})
+    assert commits.read(3) == {"c": 3}
     # the way of file systems other than the operating system's
     assert commits._rename(f"{commits.path}/.x", commits._file(2), "{}") and not commits._rename(f"{commits.path}/.y", commits._file(2), "[]")
-    assert commits.read(2) == {} and commits.last() == 2
+    assert commits.read(2) == {} and commits.last() == 3
 
 
 def test_small_files_of_empty_tables(spark):
